@@ -22,7 +22,7 @@ from math import lgamma, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import text as T
 from .components import components
@@ -30,6 +30,8 @@ from .store import on_workers, remove, written
 
 #: Longs of the parity bitmap of a set; its difference never exceeds that of the sets.
 PARITY = 8
+#: Bytes of a wider bitmap, made only of sets that share a fragment with another.
+WIDE = 256
 #: Ranges of hashes whose overlaps are counted separately.
 PARTS = 8
 
@@ -120,14 +122,27 @@ def _parts(n: int):
         for batch in batches:
             nodes = batch.column(0).to_pylist()
             for a, _, data, offsets in T.chunks(batch.column(1)):
-                node, part, held = [], [], []
+                node, part, held, wide = [], [], [], []
                 for i, s in enumerate(sets(data, offsets, n)):
                     edge = np.searchsorted(s, np.arange(PARTS, dtype=np.uint64) << np.uint64(61)).tolist() + [len(s)]
                     for p in range(PARTS):
                         node.append(nodes[a + i])
                         part.append(p)
                         held.append(s[edge[p] : edge[p + 1]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(part, pa.int32()), pa.array(held, pa.binary())], names=["node", "part", "held"])
+                        wide.append(None if p else np.packbits((np.bincount(((s >> np.uint64(20)) & np.uint64(8 * WIDE - 1)).astype(np.int64), minlength=8 * WIDE) & 1).astype(np.uint8)).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(part, pa.int32()), pa.array(held, pa.binary()), pa.array(wide, pa.binary())], names=["node", "part", "held", "wide"])
+
+    return run
+
+
+def _near(num: int, den: int):
+    """Leaves out pairs whose bitmaps differ in more bits than linked sets can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, WIDE // 8) for i in (4, 5))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield batch.filter(pa.array((den + num) * differ <= (den - num) * batch.column(3).to_numpy())).select([0, 1, 2])
 
     return run
 
@@ -171,14 +186,23 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     met = members.select("digest").distinct()
     nodes = written(sets_of.join(met, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("n_shingles", *bits))), "nodes")
     texts = source.join(nodes.select(F.col("first").alias("doc_id"), "digest"), "doc_id").select(F.col("digest").alias("node"), "text")
-    held = written(texts.mapInArrow(_parts(n), "node long, part int, held binary").dropDuplicates(["node", "part"]), "parts")
+    held = written(texts.mapInArrow(_parts(n), "node long, part int, held binary, wide binary").dropDuplicates(["node", "part"]), "parts")
 
-    likely = members.filter("digest <> pivot").groupBy("digest", "pivot").agg(F.count("*").alias("n")).groupBy("digest").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
-    first_pairs = written(likely.select(F.col("pivot").alias("x"), F.col("digest").alias("y")), "pairs")
-    links = written(_verified(first_pairs, held, nodes, num, den), "links")
+    wide = held.filter("part = 0").select("node", "wide")
+    bits_of = nodes.select("digest", "n_shingles").join(wide.withColumnRenamed("node", "digest"), "digest")
 
-    # pairs in a bucket whose ends are not connected yet
+    def near(pairs: DataFrame) -> DataFrame:
+        """Of pairs (x, y, n), those that may link by their sizes and wide bitmaps."""
+        both = pairs.join(bits_of.toDF("x", "nx", "wx"), "x").join(bits_of.toDF("y", "ny", "wy"), "y").filter(f"{den} * least(nx, ny) >= {num} * greatest(nx, ny)")
+        return both.select("x", "y", "n", (F.col("nx") + F.col("ny")).alias("size"), "wx", "wy").mapInArrow(_near(num, den), "x long, y long, n long")
+
+    likely = members.filter("digest <> pivot").groupBy("digest", "pivot").agg(F.count("*").alias("n")).groupBy("digest").agg(F.max(F.struct("n", "pivot")).alias("best"))
+    first_pairs = near(likely.select(F.col("best.pivot").alias("x"), F.col("digest").alias("y"), F.col("best.n").alias("n")))
+    tried = written(first_pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), "pairs")
+    links = written(_verified(tried, held, nodes, num, den), "links")
     root = written(components(links, "x", "y"), "roots")
+
+    # pairs in a bucket whose ends are not connected yet
     known = members.join(root.withColumnRenamed("node", "digest"), "digest", "left").select("sig", "digest", F.coalesce("root", "digest").alias("root"))
     mixed = known.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("sig")
     side = known.join(mixed, "sig").join(nodes.drop("first"), "digest")
@@ -188,13 +212,26 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     apart = f"""x_digest < y_digest AND x_root <> y_root
         AND {den} * least(x_n_shingles, y_n_shingles) >= {num} * greatest(x_n_shingles, y_n_shingles)
         AND ({den} + {num}) * ({differ}) <= ({den} - {num}) * (x_n_shingles + y_n_shingles)"""
-    open_pairs = x.join(y, "sig").filter(apart).select(F.col("x_digest").alias("x"), F.col("y_digest").alias("y")).distinct()
-    tried = first_pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    more_pairs = written(open_pairs.join(tried, ["x", "y"], "left_anti"), "pairs")
-    if not more_pairs.isEmpty():
-        links = written(links.union(_verified(more_pairs, held, nodes, num, den)), "links")
+    counted = x.join(y, "sig").filter(apart).groupBy(F.col("x_digest").alias("x"), F.col("y_digest").alias("y")).agg(F.count("*").alias("n"))
+    rest = written(near(counted).join(tried, ["x", "y"], "left_anti"), "open")
+    # each node's likeliest pairs first, as they leave few others open; then all that are
+    for most in (1, 4, None):
+        ends = root.select("node", "root")
+        live = rest.join(ends.toDF("x", "rx"), "x", "left").join(ends.toDF("y", "ry"), "y", "left").filter("coalesce(rx, x) <> coalesce(ry, y)").select("x", "y", "n")
+        live = written(live, "live")
+        if live.isEmpty():
+            break
+        if most:
+            either = live.select(F.col("x").alias("node"), "x", "y", "n").union(live.select(F.col("y"), "x", "y", "n"))
+            best = Window.partitionBy("node").orderBy(F.desc("n"), "x", "y")
+            picked = either.withColumn("rank", F.row_number().over(best)).filter(f"rank <= {most}").select("x", "y").distinct()
+            picked = written(picked, "pairs")
+            rest = live.join(picked, ["x", "y"], "left_anti")
+        else:
+            picked = live.select("x", "y")
+        links = written(links.union(_verified(picked, held, nodes, num, den)), "links")
         root = written(components(links, "x", "y"), "roots")
-    for table in (members, held, more_pairs):
+    for table in (members, held):
         remove(table)
 
     # every node's smallest document, every component's smallest node
