@@ -31,6 +31,12 @@ CACHE = 300_000
 #: characters, and between an ASCII letter and ASCII punctuation.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])")
 
+#: A stretch that is one piece for sure: letters of a Latin script, with a blank before them at most.
+_PLAIN = re.compile(r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
+
+#: One blank or more, as the tokenizer's pattern has them.
+_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
 
 def byte_letters() -> list[str]:
     """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else the next from 256 on."""
@@ -50,6 +56,7 @@ class PrefixCounter:
         added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=lambda t: (-len(t), t)))) + ")") if added else None
         letters = byte_letters()
+        self.letters = str.maketrans({chr(b): c for b, c in enumerate(letters) if chr(b) != c})
         self.blanks = {letters[b] for b in (9, 10, 11, 12, 13, 32)}
         model = self.tokenizer.model
         self.encode = lambda s: [t.value for t in model.tokenize(s)]
@@ -65,10 +72,16 @@ class PrefixCounter:
         known = self.pieces.get(p)
         if known is not None:
             return known
+        count = self.count(p)
+        if len(p) <= 64:
+            self.pieces[p] = count
+        return count
+
+    def count(self, p: str) -> list[int]:
         last, count = [""] * (len(p) + 1), [0] * (len(p) + 1)
-        vocabulary, whole, fits = self.vocabulary, self.whole, self.fits
+        vocabulary, whole, fits, longest = self.vocabulary, self.whole, self.fits, self.longest
         for k in range(1, len(p) + 1):
-            for a in range(max(0, k - self.longest), k):
+            for a in range(k - longest if k > longest else 0, k):
                 t = p[a:k]
                 if t not in vocabulary:
                     continue
@@ -84,37 +97,32 @@ class PrefixCounter:
                 if ok:
                     last[k], count[k] = t, count[a] + 1
                     break
-        if len(p) <= 64:
-            self.pieces[p] = count[1:]
         return count[1:]
 
     def ordinary(self, text: str) -> list[int]:
         """Counts of each prefix of a text without special strings, byte by byte."""
         out: list[int] = []
         before, base, run = 0, 0, ""
-        for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
+        for p, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
             own = self.piece(p)
             if p in ("'re", "'ve", "'ll"):  # two letters in, it is an apostrophe and a letter
                 own = [own[0], self.piece("'")[0] + self.piece(p[1])[0], own[2]]
             out += [before + c for c in own]
-            if run and p[0] in self.blanks:
-                # at its first byte, the blanks before are not cut off from this one yet
-                out[-len(own)] = base + self.piece(run + p[0])[-1]
-            run = p if not set(p) - self.blanks else ""
+            if run and _BLANK.match(text[a]):
+                # up to its first character, the blanks before are not cut off from this one yet
+                n = len(text[a].encode())
+                out[-len(own) : len(out) - len(own) + n] = [base + c for c in self.piece(run + p[:n])[len(run) :]]
+            run = p if _BLANK.fullmatch(text[a:b]) else ""
             base, before = before, before + own[-1]
         return out
 
     def stretch(self, text: str) -> bytes:
-        """Differences of the counts of a stretch of text."""
-        counts = [0]
-        for part in self.special.split(text) if self.special else [text]:
-            if self.special and self.special.fullmatch(part):
-                inside = self.ordinary(part)[:-1]  # not special before it is whole
-                counts += [counts[-1] + c for c in inside] + [counts[-1] + 1]
-            elif part:
-                base = counts[-1]
-                counts += [base + c for c in self.ordinary(part)]
-        return np.diff(counts).astype(np.int8).tobytes()
+        """Differences of the counts of a stretch of text without special strings."""
+        if _PLAIN.fullmatch(text):
+            counts = self.count(text.encode().decode("latin-1").translate(self.letters))
+        else:
+            counts = self.ordinary(text)
+        return differences([0, *counts])
 
     def table(self, text: str | None) -> bytes:
         """One signed byte for each byte of a text: by how much it changes the count."""
@@ -122,6 +130,18 @@ class PrefixCounter:
             return b""
         if len(self.stretches) > CACHE or len(self.pieces) > CACHE or len(self.fits) > 3 * CACHE:
             self.stretches, self.pieces, self.fits = {"": b""}, {}, {}
+        if self.special and self.special.search(text):
+            out, tail = b"", ""
+            for part in self.special.split(text):
+                if self.special.fullmatch(part):
+                    # not special before it is whole: until then it may go on from what stands before
+                    counts = [0, *self.ordinary(tail + part)][len(tail.encode()) : -1]
+                    out += differences([*counts, counts[0] + 1])
+                    tail = ""
+                elif part:
+                    out += self.table(part)
+                    tail = _CUT.split(part)[-1]
+            return out
         parts, known = _CUT.split(text), self.stretches
         try:
             return b"".join([known[p] for p in parts])
@@ -132,6 +152,10 @@ class PrefixCounter:
             return b"".join([known[p] for p in parts])
 
 
+def differences(counts: list[int]) -> bytes:
+    return bytes([b - a & 255 for a, b in zip(counts, counts[1:], strict=False)])
+
+
 def prefix_counts(table: bytes) -> np.ndarray:
     """Token counts of the prefixes of 0, 1, 2, ... bytes; exact where a character ends."""
     return np.concatenate(([0], np.cumsum(np.frombuffer(table, np.int8), dtype=np.int64)))
