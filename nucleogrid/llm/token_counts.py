@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from .store import on_workers
 
 #: Entries of a worker's caches; beyond, a cache starts anew.
-CACHE = 300_000
+CACHE = 1_000_000
 #: Where a token always ends, whatever comes before or after: before a lone blank between other
 #: characters, and between an ASCII letter and ASCII punctuation.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])")
@@ -128,8 +128,12 @@ class PrefixCounter:
         """One signed byte for each byte of a text: by how much it changes the count."""
         if not text:
             return b""
-        if len(self.stretches) > CACHE or len(self.pieces) > CACHE or len(self.fits) > 3 * CACHE:
-            self.stretches, self.pieces, self.fits = {"": b""}, {}, {}
+        if len(self.stretches) > CACHE:
+            self.stretches = {"": b""}
+        if len(self.pieces) > CACHE // 4:
+            self.pieces = {}
+        if len(self.fits) > CACHE // 2:
+            self.fits = {}
         if self.special and self.special.search(text):
             out, tail = b"", ""
             for part in self.special.split(text):
@@ -168,9 +172,14 @@ def longest_prefix(table: bytes, text: str, budget: int) -> int:
     return int(ends[fits[-1]])
 
 
+_counters: dict[str, PrefixCounter] = {}
+
+
 def _tables(tokenizer: str, limit: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(tokenizer)
+        if tokenizer not in _counters:  # a worker serves many tasks
+            _counters[tokenizer] = PrefixCounter(tokenizer)
+        counter = _counters[tokenizer]
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 rows = batch.slice(a, 500)

@@ -12,9 +12,11 @@ Files get a fresh name per attempt; the manifest, written last, names those that
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,22 @@ from pyspark.sql import DataFrame, functions as F, Window
 from .store import new_path, on_workers, written
 
 #: Words kept with their ids in a worker; beyond, the cache starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 #: Rows of a batch in a file.
 BATCH_ROWS = 64
 
 
+_BARE = re.compile(r"([A-Za-z]+)([^A-Za-z'<>|\x80-\U0010ffff]*)")
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 class WordEncoder:
     """Encodes whole texts with a tokenizer that drops white space, remembering each word's ids.
 
@@ -49,11 +62,17 @@ class WordEncoder:
         if len(self.known) > CACHE_WORDS:
             self.known = {}
         known = self.known
-        new = list({w for p in parts for w in p if w not in known})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
+        new = {w for p in parts for w in p if w not in known}
+        # the tokenizer lower-cases, and parts letters from what isn't one but for an apostrophe
+        bare = {w: _BARE.fullmatch(w) for w in new}
+        ask = {x for w, m in bare.items() for x in ((m[1].lower(), m[2]) if m else (w,)) if x not in known}
+        for at in range(0, len(ask), 20_000):
+            some = list(islice(ask, at, at + 20_000))
             for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 known[word] = np.array(e.ids, self.type).tobytes()
+        for w, m in bare.items():
+            if m:
+                known[w] = known[m[1].lower()] + known[m[2]]
         return [b"".join([known[w] for w in p]) for p in parts]
 
 
@@ -137,7 +156,7 @@ class SequenceReader:
 
 def _writer(folder: str, tokenizer: str, length: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer = WordEncoder(tokenizer), None
+        encoder, writer = encoder_of(tokenizer), None
         end = np.array([end_id], encoder.type).tobytes()
         part, docs = TaskContext.get().partitionId(), 0
         for batch in batches:
