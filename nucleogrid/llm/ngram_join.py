@@ -33,7 +33,7 @@ PARITY = 8
 #: Bytes of a wider bitmap, made only of sets that share a fragment with another.
 WIDE = 256
 #: Ranges of hashes whose overlaps are counted separately.
-PARTS = 8
+PARTS = 4
 
 
 class Cuts:
@@ -124,7 +124,7 @@ def _parts(n: int):
             for a, _, data, offsets in T.chunks(batch.column(1)):
                 node, part, held, wide = [], [], [], []
                 for i, s in enumerate(sets(data, offsets, n)):
-                    edge = np.searchsorted(s, np.arange(PARTS, dtype=np.uint64) << np.uint64(61)).tolist() + [len(s)]
+                    edge = np.searchsorted(s, np.arange(PARTS, dtype=np.uint64) << np.uint64(62)).tolist() + [len(s)]
                     for p in range(PARTS):
                         node.append(nodes[a + i])
                         part.append(p)
@@ -214,19 +214,19 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
         AND ({den} + {num}) * ({differ}) <= ({den} - {num}) * (x_n_shingles + y_n_shingles)"""
     counted = x.join(y, "sig").filter(apart).groupBy(F.col("x_digest").alias("x"), F.col("y_digest").alias("y")).agg(F.count("*").alias("n"))
     rest = written(near(counted).join(tried, ["x", "y"], "left_anti"), "open")
-    # each node's likeliest pairs first, as they leave few others open; then all that are
+    # each component's likeliest pairs first, as they leave few others open; then all that are
     for most in (1, 4, None):
         ends = root.select("node", "root")
-        live = rest.join(ends.toDF("x", "rx"), "x", "left").join(ends.toDF("y", "ry"), "y", "left").filter("coalesce(rx, x) <> coalesce(ry, y)").select("x", "y", "n")
+        live = rest.join(ends.toDF("x", "rx"), "x", "left").join(ends.toDF("y", "ry"), "y", "left").select("x", "y", "n", F.coalesce("rx", "x").alias("rx"), F.coalesce("ry", "y").alias("ry")).filter("rx <> ry")
         live = written(live, "live")
         if live.isEmpty():
             break
         if most:
-            either = live.select(F.col("x").alias("node"), "x", "y", "n").union(live.select(F.col("y"), "x", "y", "n"))
-            best = Window.partitionBy("node").orderBy(F.desc("n"), "x", "y")
+            either = live.select(F.col("rx").alias("root"), "x", "y", "n").union(live.select("ry", "x", "y", "n"))
+            best = Window.partitionBy("root").orderBy(F.desc("n"), "x", "y")
             picked = either.withColumn("rank", F.row_number().over(best)).filter(f"rank <= {most}").select("x", "y").distinct()
             picked = written(picked, "pairs")
-            rest = live.join(picked, ["x", "y"], "left_anti")
+            rest = live.select("x", "y", "n").join(picked, ["x", "y"], "left_anti")
         else:
             picked = live.select("x", "y")
         links = written(links.union(_verified(picked, held, nodes, num, den)), "links")
