@@ -111,7 +111,7 @@ def train(docs: DataFrame, learn: Column, max_docs: int = MAX_TRAINING_DOCS) ->
     known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     per_lang = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not per_lang:
-        return [], folded(), []
+        return [], np.zeros(256, np.uint8), []
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, max_docs / n))) for k, n in sorted(per_lang.items())))
     some = written(known.filter((F.pmod(F.xxhash64(F.lit(20240501), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))).select("text", "lang"), "lang-sample")
     common = some.select("text").mapInArrow(_byte_counts, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
