@@ -1,18 +1,22 @@
 """WARC records in a content-addressed archive.
 
 Payload bytes stand once, under their verified SHA-256, in one table; the exact header bytes of
-each record stand in another.  A record is rebuilt by joining the two.  Records of an equal
+each record stand in another.  A record is rebuilt by joining the two.  Like the members of a
+compressed WARC file each payload is a zstd frame of its own, made before payloads are moved.  Records of an equal
 payload of at least ``least`` bytes are one response, that of the smallest page_id, and revisits
 that refer to it; a revisit's block has HTTP headers only, as the format has it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .store import new_path
+from .store import new_path, on_workers
 
 CRLF = "\r\n"
 HTML = "text/html; charset=UTF-8"
@@ -27,6 +31,23 @@ class Archive:
     payloads: DataFrame
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, binary, as zstd frames that name their content's size."""
+    tool = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        yield _with_last(batch, [tool.compress(x) for x in batch.column(batch.num_columns - 1).to_pylist()])
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tool = zstandard.ZstdDecompressor()
+    for batch in batches:
+        yield _with_last(batch, [tool.decompress(x) for x in batch.column(batch.num_columns - 1).to_pylist()])
+
+
+def _with_last(batch: pa.RecordBatch, values: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.binary())], names=batch.schema.names)
+
+
 def _id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
 
@@ -45,6 +66,7 @@ def write(pages: DataFrame, least: int = 100, date: str = "2024-01-01T00:00:00Z"
     Other columns are not read.
     """
     spark = pages.sparkSession
+    on_workers(spark)
     path = new_path(spark, "warc")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     named = rows.select("page_id", "url", "payload", F.sha2("payload", 256).alias("payload_digest"), F.octet_length("payload").cast("long").alias("n"))
@@ -69,9 +91,11 @@ def write(pages: DataFrame, least: int = 100, date: str = "2024-01-01T00:00:00Z"
     )
     records.withColumn("http", http).select("page_id", "payload_digest", header.alias("header"), "http").write.option("compression", "zstd").parquet(f"{path}/headers")
     # each payload once: the row with the smallest page_id has it
-    held = named.join(one.select("payload_digest", "first"), "payload_digest").filter(F.col("page_id").eqNullSafe(F.col("first"))).select("payload_digest", "payload")
+    packed = named.select("payload_digest", "page_id", "payload").mapInArrow(_pack, "payload_digest string, page_id long, payload binary")
+    held = packed.join(one.select("payload_digest", "first"), "payload_digest").filter(F.col("page_id").eqNullSafe(F.col("first"))).select("payload_digest", "payload")
     held.dropDuplicates(["payload_digest"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
-    return Archive(spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads"))
+    payloads = spark.read.parquet(f"{path}/payloads").mapInArrow(_unpack, "payload_digest string, payload binary")
+    return Archive(spark.read.parquet(f"{path}/headers"), payloads)
 
 
 def records(archive: Archive) -> DataFrame:
