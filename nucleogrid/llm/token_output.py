@@ -15,11 +15,13 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, Window
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F, Window
 from .store import new_path, on_workers, written
 
 #: Words kept with their ids in a worker; beyond, the cache starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_600_000
 #: Rows of a batch in a file.
 BATCH_ROWS = 64
 
@@ -57,23 +59,42 @@ class WordEncoder:
         self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other and each ended by ``end_id``, and how many each has."""
+        parts = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        offsets, coded = parts.offsets.to_numpy(), parts.flatten().dictionary_encode()
         if len(self.known) > CACHE_WORDS:
             self.known = {}
-        known = self.known
-        new = {w for p in parts for w in p if w not in known}
+        known, words = self.known, coded.dictionary.to_pylist()
         # the tokenizer lower-cases, and parts letters from what isn't one but for an apostrophe
-        bare = {w: _BARE.fullmatch(w) for w in new}
-        ask = {x for w, m in bare.items() for x in ((m[1].lower(), m[2]) if m else (w,)) if x not in known}
+        whole, bare, stem, tail = [], [], [], []
+        for w in words:
+            if w not in known:
+                m = _BARE.fullmatch(w)
+                if m is None or w.islower() and w.isalpha():
+                    whole.append(w)
+                else:
+                    bare.append(w)
+                    stem.append(m[1].lower())
+                    tail.append(m[2])
+        ask = {x for x in (*whole, *stem, *tail) if x not in known}
+        code = "H" if self.type.itemsize == 2 else "I"
         for at in range(0, len(ask), 20_000):
             some = list(islice(ask, at, at + 20_000))
             for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, self.type).tobytes()
-        for w, m in bare.items():
-            if m:
-                known[w] = known[m[1].lower()] + known[m[2]]
-        return [b"".join([known[w] for w in p]) for p in parts]
+                known[word] = array(code, e.ids).tobytes()
+        for w, x, y in zip(bare, stem, tail, strict=True):
+            known[w] = known[x] + known[y]
+        # each word once, then copied to all its places
+        own = [known[w] for w in words]
+        pool = np.frombuffer(b"".join(own), self.type)
+        size = np.fromiter(map(len, own), np.int64, len(own)) // self.type.itemsize
+        begin = np.cumsum(size) - size
+        at = coded.indices.to_numpy()
+        through = np.concatenate(([0], np.cumsum(size[at])))
+        ids = pool[np.repeat(begin[at] - through[:-1], size[at]) + np.arange(through[-1])]
+        ends = through[offsets]
+        return np.insert(ids, ends[1:], end_id), np.diff(ends) + 1
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -94,13 +115,12 @@ class SequenceWriter:
         self.index = pa.ipc.new_file(self.files[1], pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())]))
         self.held, self.size, self.total = [], 0, 0
 
-    def add(self, docs: pa.Array, encoded: list[bytes]) -> None:
-        counts = np.array([len(e) // self.kind.itemsize for e in encoded], np.int64)
+    def add(self, docs: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
         starts = self.total + np.cumsum(counts) - counts
         self.index.write_batch(pa.RecordBatch.from_arrays([docs, pa.array(starts), pa.array(counts)], schema=self.index_schema()))
-        self.total += int(counts.sum())
-        self.held += encoded
-        self.size += int(counts.sum())
+        self.total += len(ids)
+        self.held.append(ids)
+        self.size += len(ids)
         if self.size >= self.length * BATCH_ROWS:
             self.flush(self.length * BATCH_ROWS)
 
@@ -109,11 +129,11 @@ class SequenceWriter:
         return pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
     def flush(self, step: int) -> None:
-        flat = np.frombuffer(b"".join(self.held), self.kind)
+        flat = np.concatenate(self.held) if self.held else np.zeros(0, self.kind)
         whole = len(flat) // step * step
         for a in range(0, whole, step):
             self.batch(flat[a : a + step], step)
-        self.held, self.size = [flat[whole:].tobytes()], len(flat) - whole
+        self.held, self.size = [flat[whole:].copy()], len(flat) - whole
 
     def batch(self, flat: np.ndarray, used: int) -> None:
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, np.arange(len(flat)) < used)]
@@ -122,7 +142,7 @@ class SequenceWriter:
     def close(self) -> None:
         self.flush(self.length * BATCH_ROWS)
         if self.size:
-            rest = np.frombuffer(self.held[0], self.kind)
+            rest = self.held[0]
             self.batch(np.concatenate((rest, np.zeros(-len(rest) % self.length, self.kind))), len(rest))
         for f in (self.ids, self.index, *self.files):
             f.close()
@@ -137,6 +157,7 @@ class SequenceReader:
         self.ids = pa.ipc.open_file(pa.memory_map(at) if local else fs.open_input_file(at))
         self.index = pa.ipc.open_file(pa.memory_map(at + ".index") if local else fs.open_input_file(at + ".index"))
         self.length = self.ids.schema.field("input_ids").type.list_size
+        self.last = (-1, np.zeros(0, np.uint16))
 
     def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of a sequence."""
@@ -148,7 +169,9 @@ class SequenceReader:
         """Ids ``start`` to ``start + n`` of the file; a view if one batch holds them."""
         step, out = self.length * BATCH_ROWS, []
         while n > 0:
-            flat = self.ids.get_batch(start // step).column(0).flatten().to_numpy()
+            if self.last[0] != start // step:
+                self.last = start // step, self.ids.get_batch(start // step).column(0).flatten().to_numpy()
+            flat = self.last[1]
             out.append(flat[start % step : start % step + n])
             start, n = start + len(out[-1]), n - len(out[-1])
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.uint16)
@@ -157,7 +180,6 @@ class SequenceReader:
 def _writer(folder: str, tokenizer: str, length: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer = encoder_of(tokenizer), None
-        end = np.array([end_id], encoder.type).tobytes()
         part, docs = TaskContext.get().partitionId(), 0
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
@@ -165,7 +187,7 @@ def _writer(folder: str, tokenizer: str, length: int, end_id: int):
                 if writer is None:
                     name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.arrow"
                     writer = SequenceWriter(name, length, encoder.type)
-                writer.add(rows.column(0), [e + end for e in encoder.encode(rows.column(1).to_pylist())])
+                writer.add(rows.column(0), *encoder.encode(rows.column(1), end_id))
                 docs += rows.num_rows
         if writer is not None:
             writer.close()
