@@ -124,6 +124,8 @@ def _parts(n: int):
             for a, _, data, offsets in T.chunks(batch.column(1)):
                 node, part, held, wide = [], [], [], []
                 for i, s in enumerate(sets(data, offsets, n)):
+                    if _digest(s) != nodes[a + i]:
+                        continue  # another text of the same doc_id
                     edge = np.searchsorted(s, np.arange(PARTS, dtype=np.uint64) << np.uint64(62)).tolist() + [len(s)]
                     for p in range(PARTS):
                         node.append(nodes[a + i])

@@ -71,6 +71,15 @@ def test_jaccard_components_are_exact(spark, near_copies, n, num):
     assert [got[i].component_id for i in range(len(sets))] == want
 
 
+def test_texts_of_one_doc_id_are_told_apart(spark):
+    rng = random.Random(9)
+    base = [rng.choice(WORDS) + str(i) for i in range(200)]
+    near = " ".join([*base[:-1], "other"])
+    rows = [(1, " ".join(base)), (1, "an unlike text that stands under the same id"), (2, near), (2, near), (3, "an unlike text that stands alone")]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()}
+    assert got == {(1, 197, 1), (1, 6, 1), (2, 197, 1), (3, 3, 3)}
+
+
 def test_jaccard_of_an_empty_table(spark):
     assert ngram_join.jaccard_components(docs(spark, []), 4, 85, 100).count() == 0
 
