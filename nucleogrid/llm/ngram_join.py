@@ -217,7 +217,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     counted = x.join(y, "sig").filter(apart).groupBy(F.col("x_digest").alias("x"), F.col("y_digest").alias("y")).agg(F.count("*").alias("n"))
     rest = written(near(counted).join(tried, ["x", "y"], "left_anti"), "open")
     # each component's likeliest pairs first, as they leave few others open; then all that are
-    for most in (1, 4, None):
+    for most in (4, None):
         ends = root.select("node", "root")
         live = rest.join(ends.toDF("x", "rx"), "x", "left").join(ends.toDF("y", "ry"), "y", "left").select("x", "y", "n", F.coalesce("rx", "x").alias("rx"), F.coalesce("ry", "y").alias("ry")).filter("rx <> ry")
         live = written(live, "live")
