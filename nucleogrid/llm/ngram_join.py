@@ -34,6 +34,8 @@ PARITY = 8
 WIDE = 256
 #: Ranges of hashes whose overlaps are counted separately.
 PARTS = 4
+#: Most ids of nodes (8 bytes each) that are sent to every executor; beyond that both sides of a join are shuffled.
+MOST_IDS = 1_000_000
 
 
 class Cuts:
@@ -157,6 +159,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(pairs: DataFrame, held: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Of pairs (x, y), those that link: overlaps counted per range of hashes, then summed."""
+    ends = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
+    # few nodes are in a pair: the sets of the others are not shuffled
+    held = held.join(F.broadcast(ends) if ends.count() <= MOST_IDS else ends, "node", "left_semi")
     left = pairs.join(held.select(F.col("node").alias("x"), "part", F.col("held").alias("hx")), "x")
     both = left.join(held.select(F.col("node").alias("y"), "part", F.col("held").alias("hy")), ["y", "part"])
     total = both.select("x", "y", "hx", "hy").mapInArrow(_shared, "x long, y long, shared long").groupBy("x", "y").agg(F.sum("shared").alias("o"))
