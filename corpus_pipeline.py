@@ -31,8 +31,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Brings domains, languages and sources to their target weights, each document at most once."""
-    return mixing.sample(docs, share=0.95, epochs=1)
+    """Brings domains, languages and sources to their target weights; documents of small leaves may come twice."""
+    return mixing.sample(docs)
 
 
 def token_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
