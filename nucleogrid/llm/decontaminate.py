@@ -11,6 +11,7 @@ Only a stretch of words that seeds cover can be in a tile, so the tiling sees th
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,6 +31,7 @@ def tiles(pattern: list[int], text: list[int], least: int) -> list[tuple[int, in
     """Greedy tiles (start in pattern, start in text, length) of at least ``least`` words.
 
     Negative words match nothing.  Of equally long matches, that which starts first is marked.
+    What a tile leaves free of a match waits for its turn as a shorter match.
     """
     free_p, free_t = [True] * len(pattern), [w >= 0 for w in text]
     found: list[tuple[int, int, int]] = []
@@ -54,6 +56,8 @@ def tiles(pattern: list[int], text: list[int], least: int) -> list[tuple[int, in
         longest, matches = 0, []
         for h, p in runs(pattern, free_p, s):
             for t in table.get(h, ()):
+                if p and t and pattern[p - 1] == text[t - 1] and free_p[p - 1] and free_t[t - 1]:
+                    continue  # the end of a match that starts before
                 k = 0
                 while p + k < len(pattern) and t + k < len(text) and pattern[p + k] == text[t + k] and free_p[p + k] and free_t[t + k]:
                     k += 1
@@ -62,7 +66,7 @@ def tiles(pattern: list[int], text: list[int], least: int) -> list[tuple[int, in
                 if k >= s:
                     matches.append((-k, p, t))
                     longest = max(longest, k)
-        return longest, sorted(matches)
+        return longest, matches
 
     s = max(least, min(_FIRST_SEARCH, len(pattern)))
     while True:
@@ -70,10 +74,17 @@ def tiles(pattern: list[int], text: list[int], least: int) -> list[tuple[int, in
         if longest > 2 * s:
             s = longest
             continue
-        for k, p, t in matches:
-            if all(free_p[p : p - k]) and all(free_t[t : t - k]):
+        heapq.heapify(matches)
+        while matches:
+            k, p, t = heapq.heappop(matches)
+            taken = [i for i in range(-k) if not (free_p[p + i] and free_t[t + i])]
+            if not taken:
                 free_p[p : p - k] = free_t[t : t - k] = [False] * -k
                 found.append((p, t, -k))
+                continue
+            for a, b in zip([-1, *taken], [*taken, -k], strict=True):
+                if b - a - 1 >= s:
+                    heapq.heappush(matches, (a + 1 - b, p + a + 1, t + a + 1))
         if s <= least:
             return sorted(found)
         s = max(least, s // 2)

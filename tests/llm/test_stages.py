@@ -1,10 +1,12 @@
 """Stages of the pipeline, and corners of their operators, on small tables."""
 
+import random
 from collections import Counter
 
 import pytest
 
 import corpus_pipeline
+from nucleogrid.llm import decontaminate
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -15,3 +17,28 @@ def test_mixing_stage_reaches_the_target_weights(spark):
     got = Counter(r.source for r in corpus_pipeline.source_mixing(spark, spark.createDataFrame(rows, DOC), "").collect())
     weight = {k: n**0.8 for k, n in size.items()}
     assert {k: got[k] / sum(got.values()) for k in size} == pytest.approx({k: w / sum(weight.values()) for k, w in weight.items()}, abs=0.005)
+
+
+def test_the_free_rest_of_a_covered_match_is_marked():
+    assert decontaminate.tiles(list(range(20)), [*range(9, 18), -1, *range(4, 12)], 5) == [(4, 10, 5), (9, 0, 9)]
+
+
+def test_tiles_match_plain_greedy_tiling():
+    rng = random.Random(11)
+    for case in range(300):
+        pattern, text = ([rng.randrange(low, 2 + case % 9) for _ in range(rng.randrange(1, 50))] for low in (0, -1))
+        free_p, free_t, want = [True] * len(pattern), [w >= 0 for w in text], []
+        while True:
+            best = (0, 0, 0)
+            for p in range(len(pattern)):
+                for t in range(len(text)):
+                    k = 0
+                    while p + k < len(pattern) and t + k < len(text) and pattern[p + k] == text[t + k] and free_p[p + k] and free_t[t + k]:
+                        k += 1
+                    best = min(best, (-k, p, t))
+            k, p, t = -best[0], *best[1:]
+            if k < 3:
+                break
+            free_p[p : p + k] = free_t[t : t + k] = [False] * k
+            want.append((p, t, k))
+        assert decontaminate.tiles(pattern, text, 3) == sorted(want)
