@@ -19,10 +19,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose sets of 5-word shingles are connected by similarities of 0.8 or more, keeps that with the smallest doc_id."""
-    groups = ngram_join.jaccard_components(docs, 5, 80, 100)
-    copies = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Of documents whose sets of 5-word shingles are connected by similarities of 0.8 or more, keeps one with the smallest doc_id."""
+    return ngram_join.deduplicated(docs, 5, 80, 100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

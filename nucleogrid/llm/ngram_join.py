@@ -117,6 +117,17 @@ def _fingerprints(n: int, num: int, den: int):
     return run
 
 
+def _digests(n: int):
+    """Adds the digest of each row's set of the text in the last column, in place of that text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_digest(s) for _, _, data, offsets in T.chunks(batch.column(batch.num_columns - 1)) for s in sets(data, offsets, n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], names=batch.schema.names)
+
+    return run
+
+
 def _parts(n: int):
     """Of each set, the sorted hashes in each range."""
 
@@ -177,9 +188,41 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     shingles, of a shorter text the whole sequence.  Sets link when
     ``den * |intersection| >= num * |union|``.  A null or empty text, or one of blanks only, has
     the size 0, no class and links with nothing.  Repeated rows are copies of each other.  A row
-    without a doc_id is kept; ids are the smallest that are known.  Columns besides doc_id and
-    text are not read.
+    without a doc_id takes part like any other; ids are the smallest that are known, and null
+    where none is.  Columns besides doc_id and text are not read.
+    """
+    return _labelled(docs, n, num, den).select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """The rows of docs (doc_id, text, ...), with all their columns, of which one of each component stays.
+
+    That with the smallest doc_id stays, rows without one last, then that of the smallest digest;
+    of rows alike in both, any one.  Rows without a word all stay.
     """
+    alike = _labelled(docs, n, num, den).filter("digest IS NOT NULL").groupBy("doc_id", "digest", "root").agg(F.count("*").alias("rows"))
+    alike = written(alike, "alike")
+    first = alike.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest")).alias("best"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))
+    # rows that stay as they are need no entry
+    judged = written(alike.join(first, "root").select("doc_id", "digest", stays.alias("stays"), "rows").filter("NOT stays OR rows > 1"), "judged")
+    digest, stay, held_id, held_digest = free = ["digest", "stays", "held_id", "held_digest"]
+    while {c.lower() for c in docs.columns} & set(free):
+        digest, stay, held_id, held_digest = free = [c + "_" for c in free]
+    on_workers(docs.sparkSession)
+    known = docs.select("*", F.col("text").cast("string").alias(digest))
+    tagged = known.mapInArrow(_digests(n), known.schema[:-1].add(digest, "long"))
+    side = judged.select(F.col("doc_id").alias(held_id), F.col("digest").alias(held_digest), F.col("stays").alias(stay))
+    joined = tagged.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col(held_id)) & (F.col(digest) == F.col(held_digest)), "left")
+    out = joined.filter(F.col(stay).isNull()).select(*docs.columns)
+    if judged.filter("stays").isEmpty():
+        return out
+    once = joined.filter(F.col(stay)).groupBy(held_id, held_digest).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return out.unionByName(once.select("row.*"))
+
+
+def _labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n_shingles, digest, root, class_id, component_id) of each row; the root is the digest of a set of the component."""
     on_workers(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bits = [f"p{i}" for i in range(PARITY)]
@@ -193,6 +236,11 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     met = members.select("digest").distinct()
     nodes = written(sets_of.join(met, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("n_shingles", *bits))), "nodes")
     texts = source.join(nodes.select(F.col("first").alias("doc_id"), "digest"), "doc_id").select(F.col("digest").alias("node"), "text")
+    unknown = nodes.filter("first IS NULL").select(F.col("digest").alias("node"))
+    if not unknown.isEmpty():
+        # no row of these has a doc_id: their texts are found by their digests
+        nameless = source.filter("doc_id IS NULL").select("text", F.col("text").alias("node")).mapInArrow(_digests(n), "text string, node long")
+        texts = texts.union(nameless.join(unknown, "node").groupBy("node").agg(F.first("text").alias("text")))
     held = written(texts.mapInArrow(_parts(n), "node long, part int, held binary, wide binary").dropDuplicates(["node", "part"]), "parts")
 
     wide = held.filter("part = 0").select("node", "wide")
@@ -245,5 +293,5 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     classes = sets_of.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
     rooted = classes.join(root.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     lowest = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    labels = rooted.join(lowest, "root").select("digest", "class_id", "component_id")
-    return prints.select("doc_id", "n_shingles", "digest").join(labels, "digest", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    labels = rooted.join(lowest, "root").select("digest", "root", "class_id", "component_id")
+    return prints.select("doc_id", "n_shingles", "digest").join(labels, "digest", "left")

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from nucleogrid.llm import decontaminate
+from nucleogrid.llm import decontaminate, ngram_join
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -42,3 +42,22 @@ def test_tiles_match_plain_greedy_tiling():
             free_p[p : p + k] = free_t[t : t + k] = [False] * k
             want.append((p, t, k))
         assert decontaminate.tiles(pattern, text, 3) == sorted(want)
+
+
+def test_one_row_of_each_group_stays(spark):
+    base, other = [f"a{i}" for i in range(100)], [f"b{i}" for i in range(100)]
+    near = lambda words, k: " ".join([*words[:-1], f"x{k}"])
+    rows = [(1, " ".join(base)), (1, " ".join(base)), (2, near(base, 1)), (2, "a clean text that has the id of a copy"), (None, near(base, 2)), (None, " ".join(other)), (None, near(other, 3)), (None, near(other, 3)), (3, None), (3, ""), (None, ""), (4, "stands alone")]
+    d = spark.createDataFrame([(i, t, None, "s", 0) for i, t in rows], DOC)
+    stage = corpus_pipeline.ngram_jaccard(spark, d, "")
+    assert stage.columns == d.columns
+    got = Counter((r.doc_id, (r.text or "")[:2]) for r in stage.collect())
+    assert got == {(1, "a0"): 1, (2, "a "): 1, (None, "b0"): 1, (3, ""): 2, (None, ""): 1, (4, "st"): 1}
+
+
+def test_sets_without_a_doc_id_link_and_bridge(spark):
+    words = [f"w{i}" for i in range(100)]
+    bridge = " ".join(["y", *words[1:]])
+    rows = [(1, " ".join(words[:-1] + ["z"])), (None, " ".join(words)), (None, bridge), (2, " ".join(["y", "yy", *words[2:]]))]
+    got = {(r.doc_id, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 95, 100).collect()}
+    assert got == {(1, 1), (None, 1), (2, 1)}
