@@ -3,8 +3,8 @@
 For each language a context tree over folded bytes counts which symbol follows which context of
 0 to ORDER symbols.  A symbol's probability in its longest context is escape method C: a symbol
 seen d different ways in n is n_s / (n + d); the rest, d / (n + d), goes to the next shorter
-context, where the symbols seen are excluded.  The counts are frozen, so each code length is one
-entry of a table, and a text's code length in a language is the exact sum of them.
+context, where the symbols seen are excluded.  The counts are frozen, so each code length follows from
+tables, and a text's code length in a language is the exact sum of them.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import text as T
 from .store import on_workers, written
 
-#: Longest context, and symbols told apart; the rarest bytes share the last symbol.
-ORDER, SYMBOLS = 3, 44
+#: Longest context, and symbols: whole bytes, folded.
+ORDER, SYMBOLS = 3, 256
 #: Expected number of training documents of a language that are read, chosen by a hash of their id.
 MAX_TRAINING_DOCS = 4000
 _LETTER = np.zeros(256, bool)
@@ -36,32 +36,92 @@ def folded() -> np.ndarray:
     return out
 
 
+class _Places:
+    """Where a number stands among distinct numbers, by open addressing."""
+
+    def __init__(self, numbers: np.ndarray):
+        self.numbers, self.bits = numbers, max(4, (4 * len(numbers)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        left, at = np.arange(len(numbers), dtype=np.int32), self._first(numbers)
+        while len(left):
+            put = left[self.slots[at[left]] < 0]
+            self.slots[at[put]] = put
+            left = left[self.slots[at[left]] != left]
+            at[left] = (at[left] + 1) & (len(self.slots) - 1)
+
+    def _first(self, numbers: np.ndarray) -> np.ndarray:
+        return ((numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, asked: np.ndarray) -> np.ndarray:
+        """The place of each, or -1."""
+        if not len(self.numbers):
+            return np.full(len(asked), -1, np.int32)
+        at = self._first(asked)
+        out = self.slots[at]
+        wrong = np.flatnonzero((out >= 0) & (self.numbers[out] != asked))
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & (len(self.slots) - 1)
+            out[wrong] = self.slots[at[wrong]]
+            wrong = wrong[(out[wrong] >= 0) & (self.numbers[out[wrong]] != asked[wrong])]
+        return out
+
+
 class ContextTrees:
-    """Code lengths in bits, by language, of every symbol after every ORDER symbols."""
+    """Code lengths in bits, by language, of symbols after ORDER symbols.
+
+    Of each order only the grams and contexts that a language has are held.  A gram that none has
+    costs the escape from its context, if that is held, and its length one order below.
+    """
 
     def __init__(self, langs: list[str], symbol: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]]):
         self.langs, self.symbol = langs, symbol
-        self.bits = np.empty((SYMBOLS ** (ORDER + 1), len(langs)), np.float32)
-        for i, (keys, n) in enumerate(counts):
-            full = np.zeros(SYMBOLS ** (ORDER + 1), np.float32)
-            full[keys] = n
-            p = np.full(SYMBOLS, 1 / SYMBOLS, np.float32)
-            for order in range(ORDER + 1):
-                seen = full.reshape(-1, SYMBOLS ** (order + 1)).sum(axis=0).reshape(-1, SYMBOLS) if order < ORDER else full.reshape(-1, SYMBOLS)
-                below = np.tile(p.reshape(-1, SYMBOLS), (len(seen) // (p.size // SYMBOLS), 1))
-                n, d = seen.sum(axis=1, keepdims=True), (seen > 0).sum(axis=1, keepdims=True).astype(np.float32)
-                left = np.where(seen > 0, 0, below)
-                rest = left.sum(axis=1, keepdims=True)
-                escape = np.where(n > 0, d / np.maximum(n + d, 1), 1)
+        self.grams, self.costs, self.contexts, self.escapes = [], [], [], []
+        for order in range(ORDER + 1):
+            own = []
+            for key, n in counts:
+                gram, at = np.unique(np.asarray(key, np.int64) % SYMBOLS ** (order + 1), return_inverse=True)
+                own.append((gram, np.bincount(at, np.asarray(n, np.float64), len(gram))))
+            gram = np.unique(np.concatenate([np.zeros(0, np.int64), *(g for g, _ in own)]))
+            context = np.unique(gram // SYMBOLS)
+            below = self.cost(gram % SYMBOLS**order, order - 1)
+            cost, escape = np.empty((len(gram), len(langs))), np.zeros((len(context), len(langs)))
+            for i, (seen, n) in enumerate(own):
+                at, here = np.searchsorted(gram, seen), np.searchsorted(context, seen // SYMBOLS)
+                total, kinds = np.bincount(here, n, len(context)), np.bincount(here, minlength=len(context))
+                rest = 1 - np.bincount(here, np.exp2(-below[at, i]), len(context))
                 # where every symbol was seen there is nothing to escape to
-                p = np.where(rest > 0, seen / np.maximum(n + d, 1) + escape * left / np.maximum(rest, 1e-30), seen / np.maximum(n, 1)).astype(np.float32)
-            self.bits[:, i] = -np.log2(np.maximum(p, 1e-30)).ravel()
+                open_ = (kinds > 0) & (kinds < SYMBOLS)
+                escape[open_, i] = np.log2(np.maximum(rest[open_], 1e-30) * (total + kinds)[open_] / kinds[open_])
+                cost[:, i] = below[:, i] + escape[np.searchsorted(context, gram // SYMBOLS), i]
+                cost[at, i] = -np.log2(n / (total + np.where(open_, kinds, 0))[here])
+            self.grams.append(_Places(gram))
+            self.costs.append(cost)
+            self.contexts.append(_Places(context))
+            self.escapes.append(escape)
+
+    def cost(self, gram: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """Bits, in each language, of the last symbol of each gram after the ``order`` symbols before it."""
+        if order < 0:
+            return np.full((len(gram), len(self.langs)), np.log2(SYMBOLS))
+        at = self.grams[order].of(gram)
+        new = np.flatnonzero(at < 0)
+        out = self.costs[order][at] if len(self.costs[order]) else np.empty((len(gram), len(self.langs)))
+        if len(new):
+            out[new] = self.cost(gram[new] % SYMBOLS**order, order - 1)
+            context = self.contexts[order].of(gram[new] // SYMBOLS)
+            out[new[context >= 0]] += self.escapes[order][context[context >= 0]]
+        return out
+
+    @property
+    def bits(self) -> np.ndarray:
+        """The code lengths of every symbol after each context of ORDER symbols that is held."""
+        return self.cost((self.contexts[ORDER].numbers[:, None] * SYMBOLS + np.arange(SYMBOLS)).ravel())
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each row in each language; a row begins after blanks."""
         out = np.zeros((len(offsets) - 1, len(self.langs)))
         if len(data):
-            cost = np.take(self.bits, keys(self.symbol, data, offsets), axis=0)
+            cost = self.cost(keys(self.symbol, data, offsets))
             full = np.flatnonzero(np.diff(offsets))
             out[full] = np.add.reduceat(cost, offsets[full], axis=0, dtype=np.float64)
         return out
@@ -82,13 +142,6 @@ def keys(symbol: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
     return out
 
 
-def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, fold = np.zeros(256, np.int64), folded()
-    for batch in batches:
-        total += np.bincount(fold[T.utf8(batch.column(0))[0]], minlength=256)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["byte", "n"])
-
-
 def _gram_counts(symbol: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,8 +158,8 @@ def _gram_counts(symbol: np.ndarray):
 def train(docs: DataFrame, learn: Column, max_docs: int = MAX_TRAINING_DOCS) -> tuple[list[str], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Languages, symbols and counts, from rows of docs (text, lang, doc_id) where ``learn`` holds and lang isn't null.
 
-    Of each language a share of the rows is read so that about ``max_docs`` are; the counts that
-    reach the driver are bounded by SYMBOLS ** (ORDER + 1) for a language.
+    Of each language a share of the rows is read so that about ``max_docs`` are; what reaches the
+    driver is a count for each distinct run of ORDER + 1 bytes in them.
     """
     known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     per_lang = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -114,12 +167,7 @@ def train(docs: DataFrame, learn: Column, max_docs: int = MAX_TRAINING_DOCS) ->
         return [], np.zeros(256, np.uint8), []
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, max_docs / n))) for k, n in sorted(per_lang.items())))
     some = written(known.filter((F.pmod(F.xxhash64(F.lit(20240501), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))).select("text", "lang"), "lang-sample")
-    common = some.select("text").mapInArrow(_byte_counts, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
-    fold, symbol = folded(), np.full(256, SYMBOLS - 1, np.uint8)
-    ranked = [r.byte for r in sorted(common, key=lambda r: (-r.n, r.byte)) if r.n]
-    ranked = [32, *(b for b in ranked if b != 32)][: SYMBOLS - 1]
-    for i, b in enumerate(ranked):
-        symbol[fold == b] = i
+    symbol = folded()
     found = some.mapInArrow(_gram_counts(symbol), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(per_lang)
     return langs, symbol, [(g["key"].to_numpy(), g["n"].to_numpy()) for g in (found[found["lang"] == k] for k in langs)]

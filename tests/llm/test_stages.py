@@ -4,9 +4,10 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from nucleogrid.llm import decontaminate, ngram_join
+from nucleogrid.llm import decontaminate, langid, ngram_join
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -61,3 +62,13 @@ def test_sets_without_a_doc_id_link_and_bridge(spark):
     rows = [(1, " ".join(words[:-1] + ["z"])), (None, " ".join(words)), (None, bridge), (2, " ".join(["y", "yy", *words[2:]]))]
     got = {(r.doc_id, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 95, 100).collect()}
     assert got == {(1, 1), (None, 1), (2, 1)}
+
+
+def test_languages_of_a_rare_script_are_told_apart(spark):
+    rng = random.Random(2)
+    latin = ["the quick brown fox jumps over lazy dog vexed", "àáâãäåæçèéêëìíîï 1."]
+    vocab = {"la": latin, "xa": ["дом", "лип", "воз", "кан"], "xb": ["мод", "пил", "зов", "нак"]}
+    rows = [(i, " ".join(rng.choice(vocab[k]) for _ in range(40 if k == "la" else 10)), k, "s", 0) for i in range(240) for k in [("la", "xa", "la", "xb")[i % 4]]]
+    d = spark.createDataFrame(rows, DOC)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(d, langid.train(d, F.col("doc_id") % 3 != 1)).collect()}
+    assert got == {r[0]: r[2] for r in rows}
