@@ -202,10 +202,12 @@ def deduplicated(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) ->
     """
     alike = _labelled(docs, n, num, den).filter("digest IS NOT NULL").groupBy("doc_id", "digest", "root").agg(F.count("*").alias("rows"))
     alike = written(alike, "alike")
-    first = alike.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest")).alias("best"))
+    # only components of more than one row need an entry: few, so no large one meets in one task
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest")).alias("best")
+    first = written(alike.groupBy("root").agg(best, F.sum("rows").alias("size")).filter("size > 1").select("root", "best"), "first")
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))
-    # rows that stay as they are need no entry
-    judged = written(alike.join(first, "root").select("doc_id", "digest", stays.alias("stays"), "rows").filter("NOT stays OR rows > 1"), "judged")
+    groups = alike.join(F.broadcast(first) if first.count() <= MOST_IDS else first, "root")
+    judged = written(groups.select("doc_id", "digest", stays.alias("stays"), "rows").filter("NOT stays OR rows > 1"), "judged")
     digest, stay, held_id, held_digest = free = ["digest", "stays", "held_id", "held_digest"]
     while {c.lower() for c in docs.columns} & set(free):
         digest, stay, held_id, held_digest = free = [c + "_" for c in free]
