@@ -1,70 +1,50 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The global order of the n-grams is that of their 64-bit hashes.  It is cut into F equal ranges,
-so a document's set falls into fragments.  Two sets that link differ in at most D n-grams, so
-all but D of the fragments that one of them fills are equal in both; F is chosen so that more
-than D are filled.  In the order of the fragments, the first D + 1 filled fragments of either
-set hence share one: only these meet in a join, each as one hash of its whole content, which
-tells apart documents that merely share a passage.  The pairs found are checked exactly: every
-fragment's overlap is counted by itself and the counts are summed per pair.
-
-F depends on the size of the smaller set; a document also meets the cuts of the smaller
-partners that it may have.  Equal sets are one node throughout.  Pairs inside a group are not
-all made: first each node is checked against the node that it shares most fragments with, then
-only pairs of different components are, so the components are exact.
+The global order of the n-grams, that of their 64-bit hashes, is cut into F fragments.
+
+1. *Recurring n-grams.*  Each batch of rows sends every fragment the distinct n-grams that it
+   has there, with how many of its rows hold each; one task a fragment adds these up and gives
+   each batch the frequency of its own.  An n-gram found once overlaps with nothing, so the
+   recurring ones of a set, summed over the fragments, bound its overlap with any other set:
+   most sets end here.
+2. *Candidates.*  A set with fewer than ``need`` n-grams in common with another shares one of
+   its ``size - need + 1`` rarest with it, by the global order (frequency, hash).  Sets meet in a
+   join on those only, and on where they stand in that order.
+3. *Overlaps.*  The overlap of each candidate pair is counted exactly, separately in each of
+   PARTS fragments, and summed.
+
+Equal sets are one node throughout.  Pairs inside a group are not all made: each node is first
+checked against the node of its buckets whose n-grams recur most (of a group of edited copies,
+that is the original), and afterwards only pairs of different components are, so components
+are exact.  What a task holds is a fragment (F grows with the text) or a batch.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
-from math import lgamma, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import text as T
 from .components import components
 from .store import on_workers, remove, written
 
-#: Longs of the parity bitmap of a set; its difference never exceeds that of the sets.
-PARITY = 8
-#: Bytes of a wider bitmap, made only of sets that share a fragment with another.
-WIDE = 256
+#: Bytes of text of a batch, and of the text whose n-grams a fragment has.
+BATCH, FRAGMENT = 4 << 20, 16 << 20
 #: Ranges of hashes whose overlaps are counted separately.
 PARTS = 4
-#: Most ids of nodes (8 bytes each) that are sent to every executor; beyond that both sides of a join are shuffled.
+#: Most nodes (24 bytes each) that are sent to every executor; beyond that both sides of a join are shuffled.
 MOST_IDS = 1_000_000
 
-
-class Cuts:
-    """How sets of a given size are cut, for a threshold of num/den."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.level = lru_cache(maxsize=None)(self.level)
-        self.plan = lru_cache(maxsize=None)(self.plan)
-
-    def differ(self, a: int, b: int) -> int:
-        """The most n-grams in which linked sets of these sizes differ."""
-        return (self.den - self.num) * (a + b) // (self.den + self.num)
-
-    def level(self, a: int) -> int:
-        """Bits of F where a is the smaller size: D or fewer filled fragments are less likely than 1e-15."""
-        d = self.differ(a, a * self.den // self.num)
-        bits = 0
-        while d and not ((1 << bits) >= 1.3 * (d + 1) and lgamma((1 << bits) + 1) - lgamma(d + 1) - lgamma((1 << bits) - d + 1) + a * (log(d) - bits * log(2)) < -34.5):
-            bits += 1
-        return bits
-
-    def plan(self, b: int) -> tuple[tuple[int, int], ...]:
-        """(bits, D + 1) of each cut in which a set of size b may meet a partner."""
-        out: dict[int, int] = {}
-        for a in range(-(-b * self.num // self.den), b + 1):
-            out[self.level(a)] = max(out.get(self.level(a), 0), self.differ(a, b) + 1)
-        out[self.level(b)] = self.differ(b, b * self.den // self.num) + 1
-        return tuple(out.items())
+_DEALT = "key long, batch long, fragment int, low binary, many binary, refs binary, opens binary, doc_id array<long>, size binary, digest binary"
+_RATED = "batch long, fragment int, low binary, rate binary, refs binary, opens binary, doc_id array<long>, size binary, digest binary"
+_MARKED = "doc_id long, n_shingles long, digest binary, gram long, pos int, rate int"
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -78,41 +58,130 @@ def sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
         yield np.unique(all_grams[a : b - n + 1]) if b - a >= n else T.grams(hashes[a:b], b - a) if b > a else np.zeros(0, np.uint64)
 
 
-def signatures(s: np.ndarray, cuts: Cuts) -> np.ndarray:
-    mixed, out = T.mix(s + np.uint64(0x2545F4914F6CDD1D)), []
-    for bits, need in cuts.plan(len(s)):
-        part = s >> np.uint64(64 - bits) if bits else np.zeros(len(s), np.uint64)
-        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        content = np.add.reduceat(mixed, first)[:need]
-        out.append(T.mix(content ^ T.mix(part[first[:need]] + np.uint64(bits << 48))))
-    return np.concatenate(out)
-
+def _digest(s: np.ndarray) -> bytes | None:
+    """128 bits for a set; None for an empty one."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
-def _digest(s: np.ndarray) -> int | None:
-    """One number for a set; equal sets have the same, others differ up to the odds of 64 bits."""
-    if not len(s):
-        return None
-    sums = np.array([T.mix(s).sum(dtype=np.uint64), T.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) ^ np.uint64(len(s))], np.uint64)
-    return int(T.mix(T.mix(sums[:1]) + sums[1:]).view(np.int64)[0])
 
+def _dealt(n: int, fragments: int):
+    """Of each batch of rows (doc_id, text): its distinct n-grams by fragment, and one row with who holds them."""
 
-def _fingerprints(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = Cuts(num, den)
-        for batch in batches:
-            for a, b, data, offsets in T.chunks(batch.column(1)):
-                size, digest, parity, found = [], [], [], []
-                for s in sets(data, offsets, n):
-                    size.append(len(s))
-                    digest.append(_digest(s))
-                    parity.append(np.packbits((np.bincount((s & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1).astype(np.uint8)).view(np.int64))
-                    found.append(signatures(s, cuts).view(np.int64) if len(s) else np.zeros(0, np.int64))
-                lengths = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                parities = np.stack(parity, axis=1)
+        task, count = TaskContext.get().partitionId(), 0
+        for rows in batches:
+            for a, b, data, offsets in T.chunks(rows.column(1), BATCH):
+                found = list(sets(data, offsets, n))
+                digest = b"".join(_digest(s) or bytes(16) for s in found)
+                size = np.array([len(s) for s in found], np.int64)
+                grams = np.concatenate(found)
+                gram = ((grams >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32) << np.uint64(32)) | (grams & np.uint64(0xFFFFFFFF))
+                order = np.argsort(gram)
+                gram = gram[order]
+                opens = np.concatenate((np.ones(min(1, len(gram)), bool), gram[1:] != gram[:-1]))
+                first = np.flatnonzero(opens)
+                times = np.diff(np.append(first, len(gram)))
+                gram = gram[first]
+                refs = np.repeat(np.arange(b - a, dtype=np.uint16 if b - a <= 1 << 16 else np.uint32), size)[order]
+                batch = int.from_bytes(hashlib.blake2b(digest + task.to_bytes(8) + count.to_bytes(8), digest_size=8).digest(), signed=True)
+                count += 1
+                part, at = np.unique((gram >> np.uint64(32)).astype(np.int32), return_index=True)
+                low, many = (gram & np.uint64(0xFFFFFFFF)).astype(np.uint32), []
+                for x, y in zip(at, np.append(at[1:], len(gram))):
+                    repeated = np.flatnonzero(times[x:y] > 1)
+                    many.append(np.stack((repeated, times[x:y][repeated])).astype(np.uint32).tobytes())
+                k = len(part)
+                blank = [None] * k
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(size, pa.int64()), pa.array(digest, pa.int64()), *(pa.array(p) for p in parities), pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(found)))],
-                    names=["doc_id", "n_shingles", "digest", *(f"p{i}" for i in range(PARITY)), "sigs"],
-                )
+                    [
+                        pa.array([*part.tolist(), batch % fragments], pa.int64()), pa.array([batch] * (k + 1), pa.int64()), pa.array([*part.tolist(), -1 - k], pa.int32()),
+                        pa.array([*(low[x:y].tobytes() for x, y in zip(at, np.append(at[1:], len(gram)))), None], pa.binary()), pa.array([*many, None], pa.binary()),
+                        pa.array([*blank, refs.tobytes()], pa.binary()), pa.array([*blank, np.packbits(opens).tobytes()], pa.binary()),
+                        pa.array([*blank, rows.column(0).slice(a, b - a).to_pylist()], pa.list_(pa.int64())), pa.array([*blank, size.tobytes()], pa.binary()), pa.array([*blank, digest], pa.binary()),
+                    ],
+                    names=[c.split()[0] for c in _DEALT.split(", ")],
+                )
+
+    return run
+
+
+def _rates(times: np.ndarray) -> np.ndarray:
+    """A byte that never falls with the frequency: 0 for 1, eighths of its logarithm beyond."""
+    return np.minimum(255, 8 * np.log2(times)).astype(np.uint8)
+
+
+def _rated(rows: pa.Table) -> pa.Table:
+    """Of a fragment's rows: the rate of each n-gram of each batch, and the n-grams that recur; rows without a fragment go on as they are."""
+    names = [c.split()[0] for c in _RATED.split(", ")]
+    rows = rows.combine_chunks()
+    own = rows.filter(pc.greater_equal(rows["fragment"], 0))
+    rest = rows.filter(pc.less(rows["fragment"], 0)).drop_columns(["key", "many"])
+    rest = rest.add_column(3, "rate", pa.nulls(len(rest), pa.binary())).select(names)
+    if not len(own):
+        return rest
+    held = own["low"].to_pylist()
+    edge = np.cumsum([0, *(len(x) // 4 for x in held)])
+    low = np.frombuffer(b"".join(held), np.uint32)
+    weight = np.ones(len(low), np.int64)
+    for at, many in zip(edge, own["many"].to_pylist()):
+        where, times = np.frombuffer(many, np.uint32).reshape(2, -1)
+        weight[at + where] = times
+    packed = np.sort((low.astype(np.uint64) << np.uint64(32)) | np.arange(len(low), dtype=np.uint64))
+    place = (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    packed >>= np.uint64(32)
+    first = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1])))
+    total = np.add.reduceat(weight[place], first)
+    rate = np.empty(len(low), np.uint8)
+    rate[place] = np.repeat(_rates(total), np.diff(np.append(first, len(low))))
+    again, rates = [], []
+    for x, y in zip(edge[:-1], edge[1:]):
+        mine = rate[x:y]
+        again.append(low[x:y][mine > 0].tobytes())
+        rates.append(pa.compress(mine.tobytes(), codec="zstd", asbytes=True))
+    blank = pa.nulls(len(own), pa.binary())
+    out = pa.table([own["batch"], own["fragment"], pa.array(again, pa.binary()), pa.array(rates, pa.binary()), blank, blank, pa.nulls(len(own), pa.list_(pa.int64())), blank, blank], names=names)
+    return pa.concat_tables([out, rest.cast(out.schema)])
+
+
+def _marked(num: int, den: int):
+    """Of a batch's rows: each document, and the rarest recurring n-grams of the sets that may link."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("fragment").combine_chunks()
+        head = rows.slice(0, 1).to_pylist()[0]
+        if head["refs"] is None or len(rows) != -head["fragment"]:
+            raise RuntimeError("the rows of a batch were dealt differently on two reads")
+        size = np.frombuffer(head["size"], np.int64)
+        digests = [head["digest"][16 * i : 16 * i + 16] if k else None for i, k in enumerate(size)]
+        total = int(size.sum())
+        refs = np.frombuffer(head["refs"], np.uint16 if len(head["refs"]) == 2 * total else np.uint32).astype(np.int64)
+        of = np.cumsum(np.unpackbits(np.frombuffer(head["opens"], np.uint8), count=total), dtype=np.int64) - 1
+        parts, unpack = rows.slice(1), zstandard.ZstdDecompressor().decompress
+        rate = np.frombuffer(b"".join(map(unpack, parts["rate"].to_pylist())), np.uint8)
+        gram = np.zeros(len(rate), np.int64)
+        gram[rate > 0] = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(low, np.uint32).astype(np.int64) | (f << 32) for f, low in zip(parts["fragment"].to_pylist(), parts["low"].to_pylist()))])
+        rate, gram = rate[of], gram[of]
+        recurs = np.flatnonzero(rate)
+        common = np.bincount(refs[recurs], minlength=len(size))
+        weight = np.bincount(refs[recurs], weights=rate[recurs], minlength=len(size))
+        need = -(-num * size // den)
+        recurs = recurs[(common >= need)[refs[recurs]]]
+        node = refs[recurs]
+        recurs = recurs[np.lexsort((gram[recurs], rate[recurs], node))]
+        node = refs[recurs]
+        begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(node)), bool), node[1:] != node[:-1])))
+        rank = np.arange(len(node)) - np.repeat(begin, np.diff(np.append(begin, len(node))))
+        pos = size[node] - common[node] + rank
+        early = pos <= size[node] - need[node]
+        node, pos, recurs = node[early], pos[early], recurs[early]
+        k, m = len(size), len(node)
+        mean = (100 * weight / np.maximum(1, size)).astype(np.int64)
+        return pa.table(
+            [
+                pa.array([*head["doc_id"], *[None] * m], pa.int64()), pa.array(np.concatenate((size, size[node])), pa.int64()), pa.array([*digests, *(digests[i] for i in node)], pa.binary()),
+                pa.array([*[None] * k, *gram[recurs].tolist()], pa.int64()), pa.array([*[None] * k, *pos.tolist()], pa.int32()), pa.array([*[None] * k, *mean[node].tolist()], pa.int32()),
+            ],
+            names=[c.split()[0] for c in _MARKED.split(", ")],
+        )
 
     return run
 
@@ -123,7 +192,7 @@ def _digests(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_digest(s) for _, _, data, offsets in T.chunks(batch.column(batch.num_columns - 1)) for s in sets(data, offsets, n)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.binary())], names=batch.schema.names)
 
     return run
 
@@ -135,7 +204,7 @@ def _parts(n: int):
         for batch in batches:
             nodes = batch.column(0).to_pylist()
             for a, _, data, offsets in T.chunks(batch.column(1)):
-                node, part, held, wide = [], [], [], []
+                node, part, held = [], [], []
                 for i, s in enumerate(sets(data, offsets, n)):
                     if _digest(s) != nodes[a + i]:
                         continue  # another text of the same doc_id
@@ -144,41 +213,38 @@ def _parts(n: int):
                         node.append(nodes[a + i])
                         part.append(p)
                         held.append(s[edge[p] : edge[p + 1]].tobytes())
-                        wide.append(None if p else np.packbits((np.bincount(((s >> np.uint64(20)) & np.uint64(8 * WIDE - 1)).astype(np.int64), minlength=8 * WIDE) & 1).astype(np.uint8)).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(part, pa.int32()), pa.array(held, pa.binary()), pa.array(wide, pa.binary())], names=["node", "part", "held", "wide"])
-
-    return run
-
-
-def _near(num: int, den: int):
-    """Leaves out pairs whose bitmaps differ in more bits than linked sets can."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, WIDE // 8) for i in (4, 5))
-            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            yield batch.filter(pa.array((den + num) * differ <= (den - num) * batch.column(3).to_numpy())).select([0, 1, 2])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(part, pa.int32()), pa.array(held, pa.binary())], names=["node", "part", "held"])
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["x", "y", "shared"])
+        counts = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64())], names=["x", "y", "size", "shared"])
 
 
-def _verified(pairs: DataFrame, held: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs (x, y), those that link: overlaps counted per range of hashes, then summed."""
+def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (x, y, size: of both together), those that link: overlaps counted per range of hashes, then summed."""
     ends = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
     # few nodes are in a pair: the sets of the others are not shuffled
     held = held.join(F.broadcast(ends) if ends.count() <= MOST_IDS else ends, "node", "left_semi")
-    left = pairs.join(held.select(F.col("node").alias("x"), "part", F.col("held").alias("hx")), "x")
+    left = pairs.select("x", "y", "size").join(held.select(F.col("node").alias("x"), "part", F.col("held").alias("hx")), "x")
     both = left.join(held.select(F.col("node").alias("y"), "part", F.col("held").alias("hy")), ["y", "part"])
-    total = both.select("x", "y", "hx", "hy").mapInArrow(_shared, "x long, y long, shared long").groupBy("x", "y").agg(F.sum("shared").alias("o"))
-    size = nodes.select("digest", "n_shingles")
-    sized = total.join(size.toDF("x", "nx"), "x").join(size.toDF("y", "ny"), "y")
-    return sized.filter(F.expr(f"{den} * o >= {num} * (nx + ny - o)")).select("x", "y")
+    total = both.select("x", "y", "size", "hx", "hy").mapInArrow(_shared, "x binary, y binary, size long, shared long").groupBy("x", "y", "size").agg(F.sum("shared").alias("o"))
+    return total.filter(F.expr(f"{den} * o >= {num} * (size - o)")).select("x", "y")
+
+
+def _texts(source: DataFrame, prints: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(node, text): of each digest of nodes, the text of a row that has it (or of more rows)."""
+    first = written(prints.join(nodes, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "first")
+    texts = source.join(F.broadcast(first) if first.count() <= MOST_IDS else first, "doc_id").select(F.col("digest").alias("node"), "text")
+    unknown = first.filter("doc_id IS NULL").select(F.col("digest").alias("node"))
+    if unknown.isEmpty():
+        return texts
+    # no row of these has a doc_id: their texts are found by their digests
+    nameless = source.filter("doc_id IS NULL").select("text", F.col("text").alias("node")).mapInArrow(_digests(n), "text string, node binary")
+    return texts.union(nameless.join(unknown, "node").groupBy("node").agg(F.first("text").alias("text")))
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -213,7 +279,7 @@ def deduplicated(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) ->
         digest, stay, held_id, held_digest = free = [c + "_" for c in free]
     on_workers(docs.sparkSession)
     known = docs.select("*", F.col("text").cast("string").alias(digest))
-    tagged = known.mapInArrow(_digests(n), known.schema[:-1].add(digest, "long"))
+    tagged = known.mapInArrow(_digests(n), known.schema[:-1].add(digest, "binary"))
     side = judged.select(F.col("doc_id").alias(held_id), F.col("digest").alias(held_digest), F.col("stays").alias(stay))
     joined = tagged.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col(held_id)) & (F.col(digest) == F.col(held_digest)), "left")
     out = joined.filter(F.col(stay).isNull()).select(*docs.columns)
@@ -225,70 +291,59 @@ def deduplicated(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) ->
 
 def _labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, digest, root, class_id, component_id) of each row; the root is the digest of a set of the component."""
-    on_workers(docs.sparkSession)
+    spark = docs.sparkSession
+    on_workers(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bits = [f"p{i}" for i in range(PARITY)]
-    prints = written(source.mapInArrow(_fingerprints(n, num, den), "doc_id long, n_shingles long, digest long, " + ", ".join(f"{b} long" for b in bits) + ", sigs array<long>"), "prints")
+    bytes_ = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // FRAGMENT))
+    rated = source.mapInArrow(_dealt(n, fragments), _DEALT).groupBy("key").applyInArrow(_rated, _RATED)
+    marked = written(rated.groupBy("batch").applyInArrow(_marked(num, den), _MARKED), "marked")
+    prints = marked.filter("gram IS NULL").select("doc_id", "n_shingles", "digest")
     sets_of = prints.filter("digest IS NOT NULL")
-    # one shuffle, read twice: buckets with different sets, and their members
-    dealt = sets_of.select("digest", F.explode("sigs").alias("sig")).repartition("sig")
-    buckets = dealt.groupBy("sig").agg(F.min("digest").alias("pivot"), F.max("digest").alias("last")).filter("pivot < last").select("sig", "pivot")
-    members = written(dealt.join(buckets, "sig").distinct(), "members")
-    # nodes that share a fragment with another, with one document of each
-    met = members.select("digest").distinct()
-    nodes = written(sets_of.join(met, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("n_shingles", *bits))), "nodes")
-    texts = source.join(nodes.select(F.col("first").alias("doc_id"), "digest"), "doc_id").select(F.col("digest").alias("node"), "text")
-    unknown = nodes.filter("first IS NULL").select(F.col("digest").alias("node"))
-    if not unknown.isEmpty():
-        # no row of these has a doc_id: their texts are found by their digests
-        nameless = source.filter("doc_id IS NULL").select("text", F.col("text").alias("node")).mapInArrow(_digests(n), "text string, node long")
-        texts = texts.union(nameless.join(unknown, "node").groupBy("node").agg(F.first("text").alias("text")))
-    held = written(texts.mapInArrow(_parts(n), "node long, part int, held binary, wide binary").dropDuplicates(["node", "part"]), "parts")
-
-    wide = held.filter("part = 0").select("node", "wide")
-    bits_of = nodes.select("digest", "n_shingles").join(wide.withColumnRenamed("node", "digest"), "digest")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Of pairs (x, y, n), those that may link by their sizes and wide bitmaps."""
-        both = pairs.join(bits_of.toDF("x", "nx", "wx"), "x").join(bits_of.toDF("y", "ny", "wy"), "y").filter(f"{den} * least(nx, ny) >= {num} * greatest(nx, ny)")
-        return both.select("x", "y", "n", (F.col("nx") + F.col("ny")).alias("size"), "wx", "wy").mapInArrow(_near(num, den), "x long, y long, n long")
-
-    likely = members.filter("digest <> pivot").groupBy("digest", "pivot").agg(F.count("*").alias("n")).groupBy("digest").agg(F.max(F.struct("n", "pivot")).alias("best"))
-    first_pairs = near(likely.select(F.col("best.pivot").alias("x"), F.col("digest").alias("y"), F.col("best.n").alias("n")))
-    tried = written(first_pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), "pairs")
-    links = written(_verified(tried, held, nodes, num, den), "links")
+
+    # sets that share one of their rarest n-grams, each with that whose n-grams recur most
+    heads = marked.filter("gram IS NOT NULL").select("gram", "digest", F.col("n_shingles").alias("n"), "pos", "rate").distinct()
+    top = F.max(F.struct("rate", "digest", "n", "pos")).alias("top")
+    buckets = heads.groupBy("gram").agg(top, F.count("*").alias("sets")).filter("sets > 1")
+    members = written(heads.drop("rate").join(buckets, "gram").select("gram", "digest", "n", "pos", F.col("top.digest").alias("pivot"), F.col("top.n").alias("top_n"), F.col("top.pos").alias("top_pos")), "members")
+    held = written(_texts(source, sets_of, members.select("digest").distinct(), n).mapInArrow(_parts(n), "node binary, part int, held binary").dropDuplicates(["node", "part"]), "parts")
+
+    def fits(n1: str, p1: str, n2: str, p2: str) -> str:
+        """Whether sets of these sizes whose first n-gram in common stands at these places may link."""
+        return f"{den} * least({n1}, {n2}) >= {num} * greatest({n1}, {n2}) AND {den + num} * least({n1} - {p1}, {n2} - {p2}) >= {num} * ({n1} + {n2})"
+
+    likely = members.filter("digest <> pivot AND " + fits("n", "pos", "top_n", "top_pos")).groupBy("digest", "pivot").agg(F.count("*").alias("common"), F.first(F.col("n") + F.col("top_n")).alias("size"))
+    best = likely.groupBy("digest").agg(F.max(F.struct("common", "pivot", "size")).alias("best"))
+    tried = written(best.select(F.least("digest", "best.pivot").alias("x"), F.greatest("digest", "best.pivot").alias("y"), "best.size").distinct(), "pairs")
+    links = written(_verified(tried, held, num, den), "links")
     root = written(components(links, "x", "y"), "roots")
 
-    # pairs in a bucket whose ends are not connected yet
-    known = members.join(root.withColumnRenamed("node", "digest"), "digest", "left").select("sig", "digest", F.coalesce("root", "digest").alias("root"))
-    mixed = known.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("sig")
-    side = known.join(mixed, "sig").join(nodes.drop("first"), "digest")
-    x = side.select("sig", *(F.col(c).alias(f"x_{c}") for c in ("digest", "root", "n_shingles", *bits)))
-    y = side.select("sig", *(F.col(c).alias(f"y_{c}") for c in ("digest", "root", "n_shingles", *bits)))
-    differ = " + ".join(f"bit_count(x_{b} ^ y_{b})" for b in bits)
-    apart = f"""x_digest < y_digest AND x_root <> y_root
-        AND {den} * least(x_n_shingles, y_n_shingles) >= {num} * greatest(x_n_shingles, y_n_shingles)
-        AND ({den} + {num}) * ({differ}) <= ({den} - {num}) * (x_n_shingles + y_n_shingles)"""
-    counted = x.join(y, "sig").filter(apart).groupBy(F.col("x_digest").alias("x"), F.col("y_digest").alias("y")).agg(F.count("*").alias("n"))
-    rest = written(near(counted).join(tried, ["x", "y"], "left_anti"), "open")
+    # pairs in a bucket whose ends are not connected yet: one end at least is not connected with the bucket's pivot
+    rooted = root.withColumnRenamed("node", "digest")
+    known = members.join(rooted, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    known = written(known.join(rooted.toDF("pivot", "pivot_root"), "pivot", "left").select("gram", "digest", "n", "pos", "root", (F.col("root") != F.coalesce("pivot_root", "pivot")).alias("apart")), "known")
+    x = known.filter("apart").select("gram", *(F.col(c).alias(f"x_{c}") for c in ("digest", "root", "n", "pos")))
+    y = known.select("gram", *(F.col(c).alias(f"y_{c}") for c in ("digest", "root", "n", "pos", "apart")))
+    unlike = "x_root <> y_root AND (x_digest < y_digest OR NOT y_apart) AND " + fits("x_n", "x_pos", "y_n", "y_pos")
+    ends = [f("x_digest", "y_digest").alias(c) for f, c in ((F.least, "x"), (F.greatest, "y"))]
+    counted = x.join(y, "gram").filter(unlike).select(*ends, (F.col("x_n") + F.col("y_n")).alias("size")).groupBy("x", "y", "size").agg(F.count("*").alias("common"))
+    rest = written(counted.join(tried, ["x", "y"], "left_anti"), "open")
     # each component's likeliest pairs first, as they leave few others open; then all that are
     for most in (4, None):
         ends = root.select("node", "root")
-        live = rest.join(ends.toDF("x", "rx"), "x", "left").join(ends.toDF("y", "ry"), "y", "left").select("x", "y", "n", F.coalesce("rx", "x").alias("rx"), F.coalesce("ry", "y").alias("ry")).filter("rx <> ry")
+        live = rest.join(ends.toDF("x", "rx"), "x", "left").join(ends.toDF("y", "ry"), "y", "left").select("x", "y", "size", "common", F.coalesce("rx", "x").alias("rx"), F.coalesce("ry", "y").alias("ry")).filter("rx <> ry")
         live = written(live, "live")
         if live.isEmpty():
             break
+        picked = live.select("x", "y", "size")
         if most:
-            either = live.select(F.col("rx").alias("root"), "x", "y", "n").union(live.select("ry", "x", "y", "n"))
-            best = Window.partitionBy("root").orderBy(F.desc("n"), "x", "y")
-            picked = either.withColumn("rank", F.row_number().over(best)).filter(f"rank <= {most}").select("x", "y").distinct()
-            picked = written(picked, "pairs")
-            rest = live.select("x", "y", "n").join(picked, ["x", "y"], "left_anti")
-        else:
-            picked = live.select("x", "y")
-        links = written(links.union(_verified(picked, held, nodes, num, den)), "links")
+            either = live.select(F.col("rx").alias("root"), "x", "y", "size", "common").union(live.select("ry", "x", "y", "size", "common"))
+            by = Window.partitionBy("root").orderBy(F.desc("common"), "x", "y")
+            picked = written(either.withColumn("rank", F.row_number().over(by)).filter(f"rank <= {most}").select("x", "y", "size").distinct(), "pairs")
+            rest = live.join(picked, ["x", "y"], "left_anti").select("x", "y", "size", "common")
+        links = written(links.union(_verified(picked, held, num, den)), "links")
         root = written(components(links, "x", "y"), "roots")
-    for table in (members, held):
+    for table in (members, known, held):
         remove(table)
 
     # every node's smallest document, every component's smallest node
@@ -296,4 +351,4 @@ def _labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     rooted = classes.join(root.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     lowest = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"))
     labels = rooted.join(lowest, "root").select("digest", "root", "class_id", "component_id")
-    return prints.select("doc_id", "n_shingles", "digest").join(labels, "digest", "left")
+    return prints.join(labels, "digest", "left")
