@@ -17,16 +17,17 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .store import on_workers
 
 #: Entries of a worker's caches; beyond, a cache starts anew.
-CACHE = 1_000_000
+CACHE = 1_500_000
 #: Where a token always ends, whatever comes before or after: before a lone blank between other
 #: characters, and between an ASCII letter and ASCII punctuation.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])")
@@ -34,6 +35,9 @@ _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])")
 #: A stretch that is one piece for sure: letters of a Latin script, with a blank before them at most.
 _PLAIN = re.compile(r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
 
+#: Two kinds of white space side by side: there a blank isn't a cut.
+_WIDE = re.compile(r"\s\s")
+
 #: One blank or more, as the tokenizer's pattern has them.
 _BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
@@ -66,6 +70,8 @@ class PrefixCounter:
         self.whole: dict[str, bool] = {}
         self.pieces: dict[str, list[int]] = {}
         self.stretches: dict[str, bytes] = {"": b""}
+        #: Tables of what stands behind a lone blank, the blank's included.
+        self.behind: dict[str, bytes] = {}
 
     def piece(self, p: str) -> list[int]:
         """Token counts of the first 1, 2, ... bytes of a piece, one letter for each byte."""
@@ -78,26 +84,39 @@ class PrefixCounter:
         return count
 
     def count(self, p: str) -> list[int]:
-        last, count = [""] * (len(p) + 1), [0] * (len(p) + 1)
+        return next(self.counts([p]))[1:]
+
+    def counts(self, pieces: Iterable[str]) -> Iterator[list[int]]:
+        """Token counts of the first 0, 1, 2, ... bytes of each piece; what a piece shares with the one before is not computed again."""
+        last, count, before = [""], [0], ""
         vocabulary, whole, fits, longest = self.vocabulary, self.whole, self.fits, self.longest
-        for k in range(1, len(p) + 1):
-            for a in range(k - longest if k > longest else 0, k):
-                t = p[a:k]
-                if t not in vocabulary:
-                    continue
-                if a:
-                    pair = (last[a], t)
-                    ok = fits.get(pair)
-                    if ok is None:
-                        ok = fits[pair] = self.encode(pair[0] + t) == [pair[0], t]
-                else:
-                    ok = whole.get(t)
-                    if ok is None:
-                        ok = whole[t] = self.encode(t) == [t]
-                if ok:
-                    last[k], count[k] = t, count[a] + 1
+        for p in pieces:
+            n, same = len(p), 0
+            for x, y in zip(p, before, strict=False):
+                if x != y:
                     break
-        return count[1:]
+                same += 1
+            del last[same + 1 :], count[same + 1 :]
+            for k in range(same + 1, n + 1):
+                for a in range(k - longest if k > longest else 0, k):
+                    t = p[a:k]
+                    if t not in vocabulary:
+                        continue
+                    if a:
+                        pair = (last[a], t)
+                        ok = fits.get(pair)
+                        if ok is None:
+                            ok = fits[pair] = self.encode(pair[0] + t) == [pair[0], t]
+                    else:
+                        ok = whole.get(t)
+                        if ok is None:
+                            ok = whole[t] = self.encode(t) == [t]
+                    if ok:
+                        last.append(t)
+                        count.append(count[a] + 1)
+                        break
+            before = p
+            yield count
 
     def ordinary(self, text: str) -> list[int]:
         """Counts of each prefix of a text without special strings, byte by byte."""
@@ -124,16 +143,70 @@ class PrefixCounter:
             counts = self.ordinary(text)
         return differences([0, *counts])
 
+    def easy(self, text: str | None) -> bool:
+        """Whether each blank of a text parts its tokens, so that it is the words between blanks that have tables."""
+        return bool(text) and not (self.special and self.special.search(text) or _WIDE.search(text) or text[0].isspace() or text[-1].isspace())
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Tables of words that stand behind a lone blank.  New ones are taken in order, so that each shares the work on its first letters with the next."""
+        for held, most in ((self.stretches, CACHE // 2), (self.pieces, CACHE // 4), (self.fits, CACHE // 2), (self.behind, CACHE)):
+            if len(held) > most:
+                held.clear()
+        self.stretches[""] = b""
+        known, plain, mixed = self.behind, {}, {}
+        for w in words:
+            if w in known:
+                continue
+            parts = _CUT.split(" " + w)
+            simple = _PLAIN.fullmatch(parts[0])
+            if len(parts) > 1 or not simple:
+                mixed[w] = parts
+            if simple and (first := parts[0][1:]) not in known:
+                plain[parts[0].encode().decode("latin-1").translate(self.letters)] = first
+        order = sorted(plain)
+        for p, count in zip(order, self.counts(order), strict=True):
+            known[plain[p]] = differences(count)
+        for w, (first, *rest) in mixed.items():
+            own = known[first[1:]] if _PLAIN.fullmatch(first) else self.any(first)
+            known[w] = own + b"".join(map(self.any, rest))
+
+    def totals(self, texts: pa.Array) -> np.ndarray:
+        """The last entry of each text's table: those of its stretches added up, each distinct word looked up once."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        easy = np.array([self.easy(t) for t in texts.to_pylist()], bool)
+        out = np.zeros(len(texts), np.int64)
+        words = pc.split_pattern(texts.filter(pa.array(easy)), " ")
+        offsets, flat = words.offsets.to_numpy(), words.flatten()
+        first = np.zeros(len(flat), bool)
+        first[offsets[:-1]] = True
+        coded = flat.filter(pa.array(~first)).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self.learn(distinct)
+        sums = np.concatenate((_sums([self.behind[w] for w in distinct])[coded.indices.to_numpy()], [0]))
+        begin = offsets[:-1] - np.arange(len(offsets) - 1)
+        through = np.concatenate(([0], np.cumsum(sums)))
+        out[easy] = through[np.append(begin[1:], len(sums) - 1)] - through[begin] + _sums([self.any(w) for w in flat.filter(pa.array(first)).to_pylist()])
+        out[~easy] = _sums([self.table(t) for t in texts.filter(pa.array(~easy)).to_pylist()])
+        return out
+
+    def tables(self, texts: list[str | None]) -> list[bytes]:
+        """The tables of many texts."""
+        split = [t.split(" ") if self.easy(t) else None for t in texts]
+        self.learn({w for words in split if words for w in words[1:]})
+        return [self.any(words[0]) + b"".join([self.behind[w] for w in words[1:]]) if words else self.table(t) for t, words in zip(texts, split, strict=True)]
+
+    def any(self, text: str) -> bytes:
+        """The table of a short text without special strings that ends and begins where tokens do."""
+        parts = _CUT.split(text)
+        for p in parts:
+            if p not in self.stretches:
+                self.stretches[p] = self.stretch(p)
+        return b"".join([self.stretches[p] for p in parts])
+
     def table(self, text: str | None) -> bytes:
         """One signed byte for each byte of a text: by how much it changes the count."""
         if not text:
             return b""
-        if len(self.stretches) > CACHE:
-            self.stretches = {"": b""}
-        if len(self.pieces) > CACHE // 4:
-            self.pieces = {}
-        if len(self.fits) > CACHE // 2:
-            self.fits = {}
         if self.special and self.special.search(text):
             out, tail = b"", ""
             for part in self.special.split(text):
@@ -146,20 +219,20 @@ class PrefixCounter:
                     out += self.table(part)
                     tail = _CUT.split(part)[-1]
             return out
-        parts, known = _CUT.split(text), self.stretches
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            for p in parts:
-                if p not in known:
-                    known[p] = self.stretch(p)
-            return b"".join([known[p] for p in parts])
+        return self.any(text)
 
 
 def differences(counts: list[int]) -> bytes:
     return bytes([b - a & 255 for a, b in zip(counts, counts[1:], strict=False)])
 
 
+def _sums(tables: list[bytes]) -> np.ndarray:
+    """The last entry of each table."""
+    ends = np.concatenate(([0], np.cumsum([len(t) for t in tables], dtype=np.int64)))
+    through = np.concatenate(([0], np.cumsum(np.frombuffer(b"".join(tables), np.int8), dtype=np.int64)))
+    return through[ends[1:]] - through[ends[:-1]]
+
+
 def prefix_counts(table: bytes) -> np.ndarray:
     """Token counts of the prefixes of 0, 1, 2, ... bytes; exact where a character ends."""
     return np.concatenate(([0], np.cumsum(np.frombuffer(table, np.int8), dtype=np.int64)))
@@ -181,15 +254,12 @@ def _tables(tokenizer: str, limit: int, keep: bool):
             _counters[tokenizer] = PrefixCounter(tokenizer)
         counter = _counters[tokenizer]
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                rows = batch.slice(a, 500)
-                tables = [counter.table(t) for t in rows.column(1).to_pylist()]
-                size = np.array([len(t) for t in tables], np.int64)
-                flat = prefix_counts(b"".join(tables))
-                ends = np.cumsum(size)
-                n = flat[ends] - flat[ends - size]
-                out = [rows.column(0), pa.array(size), pa.array(n), pa.array(n > limit)]
-                yield pa.RecordBatch.from_arrays(out + [pa.array(tables, pa.binary())] * keep, names=["doc_id", "n_bytes", "n_tokens", "over_limit", "prefix_table"][: 4 + keep])
+            texts = batch.column(1)
+            size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+            tables = counter.tables(texts.to_pylist()) if keep else []
+            n = _sums(tables) if keep else counter.totals(texts)
+            out = [batch.column(0), size, pa.array(n), pa.array(n > limit)]
+            yield pa.RecordBatch.from_arrays(out + [pa.array(tables, pa.binary())] * keep, names=["doc_id", "n_bytes", "n_tokens", "over_limit", "prefix_table"][: 4 + keep])
 
     return run
 
