@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import text as T
-from .store import on_workers
+from .store import on_workers, release
 
 #: Bytes of benchmark text whose seeds are broadcast at once; a larger benchmark is met block by block.
 BLOCK_BYTES = 32 << 20
@@ -147,6 +147,7 @@ def _tilings(seeds, share: float):
                 if found:
                     row, *rest = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *(pa.array(x, pa.int64()) for x in rest)], names=["doc_id", "item_id", "n_tiles", "covered_words", "item_words", "longest_tile"])
+        release()
 
     return run
 
@@ -160,6 +161,7 @@ def _clean(blocks, share: float):
                     for r, _, k, n in own.value.matches(data, offsets):
                         keep[a + r] &= sum(x[2] for x in k) < share * n
             yield batch.filter(pa.array(keep))
+        release()
 
     return run
 

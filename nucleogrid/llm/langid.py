@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import text as T
-from .store import on_workers, written
+from .store import on_workers, release, written
 
 #: Longest context, and symbols: whole bytes, folded.
 ORDER, SYMBOLS = 3, 256
@@ -151,6 +151,7 @@ def _gram_counts(symbol: np.ndarray):
                 for _, _, data, offsets in T.chunks(rows, 8 << 20):
                     key, n = np.unique(keys(symbol, data, offsets), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key), pa.array(n)], names=["lang", "key", "n"])
+        release()
 
     return run
 
@@ -197,6 +198,7 @@ def _predict(model):
                 else:
                     score, lang = np.zeros(len(bits)), np.full(len(bits), "und", object)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(lang, pa.string()), pa.array(np.where(lang == "und", 0.0, score))], names=["doc_id", "lang_pred", "score"])
+        release()
 
     return run
 

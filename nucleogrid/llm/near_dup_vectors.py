@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .store import on_workers, written
+from .store import on_workers, release, written
 
 BLOCKS, GRID = 4, 2
 #: Stored and asking vectors of a tile.
@@ -57,6 +57,7 @@ def _cells(cosine: float):
                     for step in np.ndindex(*(high - low + 1)):
                         out.append((name(low + step), False))
                 yield pa.RecordBatch.from_pydict({"vec_id": [i] * len(out), "size": [size] * len(out), "label": [label] * len(out), "vector": pa.array([x.tobytes()] * len(out)), "cell": [c for c, _ in out], "stored": [s for _, s in out]})
+        release()
 
     return run
 

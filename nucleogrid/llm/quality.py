@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import text as T
-from .store import on_workers
+from .store import on_workers, release
 
 #: Bound of the labelled sample; rows are chosen by a hash of their id.
 MAX_LABELLED = 2000
@@ -115,6 +115,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, data, offsets in T.chunks(batch.column(2)):
             held = [r.tobytes() for r in terms(data, offsets)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(held, pa.binary())], names=["doc_id", "quality", "terms"])
+    release()
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, max_labelled: int = MAX_LABELLED) -> Model:
@@ -137,6 +138,7 @@ def _scores(model):
         for batch in batches:
             for a, b, data, offsets in T.chunks(batch.column(1), 1 << 20):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(model.value.scores(terms(data, offsets)))], names=["doc_id", "score"])
+        release()
 
     return run
 
@@ -146,6 +148,7 @@ def _keeps(model, least: float):
         for batch in batches:
             keep = [model.value.scores(terms(data, offsets)) >= least for _, _, data, offsets in T.chunks(batch.column(batch.schema.get_field_index("text")), 1 << 20)]
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+        release()
 
     return run
 

@@ -6,10 +6,13 @@ master is local (tests) is a temporary folder made and recorded in the session.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,8 +48,22 @@ def remove(df: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release() -> None:
+    """Gives a worker's freed memory back, as the worker lives on beside others of its executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library at hand has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+#: Bytes of an Arrow batch that goes to a Python worker, where the session leaves Spark's default.
+ARROW_BYTES = "8m"
+
+
 def on_workers(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it."""
+    """Lets Python workers import this package from where the driver has it, and bounds the bytes of their batches: 10,000 long texts are too much for one."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, ARROW_BYTES)
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(":"):

@@ -16,7 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .store import new_path, on_workers
+from .store import new_path, on_workers, release
 
 CRLF = "\r\n"
 HTML = "text/html; charset=UTF-8"
@@ -36,12 +36,14 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tool = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         yield _with_last(batch, [tool.compress(x) for x in batch.column(batch.num_columns - 1).to_pylist()])
+    release()
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tool = zstandard.ZstdDecompressor()
     for batch in batches:
         yield _with_last(batch, [tool.decompress(x) for x in batch.column(batch.num_columns - 1).to_pylist()])
+    release()
 
 
 def _with_last(batch: pa.RecordBatch, values: list[bytes]) -> pa.RecordBatch:
