@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import text as T
 from .components import components
-from .store import on_workers, remove, written
+from .store import on_workers, release, remove, written
 
 #: Bytes of text of a batch, and of the text whose n-grams a fragment has.
-BATCH, FRAGMENT = 4 << 20, 16 << 20
+BATCH, FRAGMENT = 2 << 20, 8 << 20
 #: Ranges of hashes whose overlaps are counted separately.
 PARTS = 4
+#: Bytes of the parity bitmap of a set; two bitmaps never differ more than their sets do.
+WIDE = 256
 #: Most nodes (24 bytes each) that are sent to every executor; beyond that both sides of a join are shuffled.
 MOST_IDS = 1_000_000
 
@@ -63,6 +65,16 @@ def _digest(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers as zstd of their bytes, all first bytes together, then all second ones, and so on."""
+    return pa.compress(numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(held: bytes, kind: type) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(held), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _dealt(n: int, fragments: int):
     """Of each batch of rows (doc_id, text): its distinct n-grams by fragment, and one row with who holds them."""
 
@@ -81,7 +93,7 @@ def _dealt(n: int, fragments: int):
                 first = np.flatnonzero(opens)
                 times = np.diff(np.append(first, len(gram)))
                 gram = gram[first]
-                refs = np.repeat(np.arange(b - a, dtype=np.uint16 if b - a <= 1 << 16 else np.uint32), size)[order]
+                refs = np.repeat(np.arange(b - a, dtype=np.uint32), size)[order]
                 batch = int.from_bytes(hashlib.blake2b(digest + task.to_bytes(8) + count.to_bytes(8), digest_size=8).digest(), signed=True)
                 count += 1
                 part, at = np.unique((gram >> np.uint64(32)).astype(np.int32), return_index=True)
@@ -94,12 +106,13 @@ def _dealt(n: int, fragments: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([*part.tolist(), batch % fragments], pa.int64()), pa.array([batch] * (k + 1), pa.int64()), pa.array([*part.tolist(), -1 - k], pa.int32()),
-                        pa.array([*(low[x:y].tobytes() for x, y in zip(at, np.append(at[1:], len(gram)))), None], pa.binary()), pa.array([*many, None], pa.binary()),
-                        pa.array([*blank, refs.tobytes()], pa.binary()), pa.array([*blank, np.packbits(opens).tobytes()], pa.binary()),
+                        pa.array([*(_packed(np.diff(low[x:y], prepend=np.uint32(0))) for x, y in zip(at, np.append(at[1:], len(gram)))), None], pa.binary()), pa.array([*many, None], pa.binary()),
+                        pa.array([*blank, _packed(refs)], pa.binary()), pa.array([*blank, np.packbits(opens).tobytes()], pa.binary()),
                         pa.array([*blank, rows.column(0).slice(a, b - a).to_pylist()], pa.list_(pa.int64())), pa.array([*blank, size.tobytes()], pa.binary()), pa.array([*blank, digest], pa.binary()),
                     ],
                     names=[c.split()[0] for c in _DEALT.split(", ")],
                 )
+        release()
 
     return run
 
@@ -118,9 +131,9 @@ def _rated(rows: pa.Table) -> pa.Table:
     rest = rest.add_column(3, "rate", pa.nulls(len(rest), pa.binary())).select(names)
     if not len(own):
         return rest
-    held = own["low"].to_pylist()
-    edge = np.cumsum([0, *(len(x) // 4 for x in held)])
-    low = np.frombuffer(b"".join(held), np.uint32)
+    held = [np.cumsum(_unpacked(x, np.uint32), dtype=np.uint32) for x in own["low"].to_pylist()]
+    edge = np.cumsum([0, *map(len, held)])
+    low = np.concatenate(held)
     weight = np.ones(len(low), np.int64)
     for at, many in zip(edge, own["many"].to_pylist()):
         where, times = np.frombuffer(many, np.uint32).reshape(2, -1)
@@ -153,7 +166,7 @@ def _marked(num: int, den: int):
         size = np.frombuffer(head["size"], np.int64)
         digests = [head["digest"][16 * i : 16 * i + 16] if k else None for i, k in enumerate(size)]
         total = int(size.sum())
-        refs = np.frombuffer(head["refs"], np.uint16 if len(head["refs"]) == 2 * total else np.uint32).astype(np.int64)
+        refs = _unpacked(head["refs"], np.uint32).astype(np.int64)
         of = np.cumsum(np.unpackbits(np.frombuffer(head["opens"], np.uint8), count=total), dtype=np.int64) - 1
         parts, unpack = rows.slice(1), zstandard.ZstdDecompressor().decompress
         rate = np.frombuffer(b"".join(map(unpack, parts["rate"].to_pylist())), np.uint8)
@@ -193,18 +206,19 @@ def _digests(n: int):
         for batch in batches:
             found = [_digest(s) for _, _, data, offsets in T.chunks(batch.column(batch.num_columns - 1)) for s in sets(data, offsets, n)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.binary())], names=batch.schema.names)
+        release()
 
     return run
 
 
 def _parts(n: int):
-    """Of each set, the sorted hashes in each range."""
+    """Of each set, the sorted hashes in each range, and with the first its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = batch.column(0).to_pylist()
             for a, _, data, offsets in T.chunks(batch.column(1)):
-                node, part, held = [], [], []
+                node, part, held, wide = [], [], [], []
                 for i, s in enumerate(sets(data, offsets, n)):
                     if _digest(s) != nodes[a + i]:
                         continue  # another text of the same doc_id
@@ -213,7 +227,22 @@ def _parts(n: int):
                         node.append(nodes[a + i])
                         part.append(p)
                         held.append(s[edge[p] : edge[p + 1]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(part, pa.int32()), pa.array(held, pa.binary())], names=["node", "part", "held"])
+                        wide.append(None if p else np.packbits((np.bincount(((s >> np.uint64(20)) & np.uint64(8 * WIDE - 1)).astype(np.int64), minlength=8 * WIDE) & 1).astype(np.uint8)).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(part, pa.int32()), pa.array(held, pa.binary()), pa.array(wide, pa.binary())], names=["node", "part", "held", "wide"])
+        release()
+
+    return run
+
+
+def _near(num: int, den: int):
+    """Of pairs (x, y, size, common, wx, wy), those whose bitmaps differ in no more bits than linked sets can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, WIDE // 8) for i in (4, 5))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield batch.filter(pa.array((den + num) * differ <= (den - num) * batch.column(2).to_numpy())).select([0, 1, 2, 3])
+        release()
 
     return run
 
@@ -222,6 +251,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64())], names=["x", "y", "size", "shared"])
+    release()
 
 
 def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
@@ -281,7 +311,8 @@ def deduplicated(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) ->
     known = docs.select("*", F.col("text").cast("string").alias(digest))
     tagged = known.mapInArrow(_digests(n), known.schema[:-1].add(digest, "binary"))
     side = judged.select(F.col("doc_id").alias(held_id), F.col("digest").alias(held_digest), F.col("stays").alias(stay))
-    joined = tagged.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col(held_id)) & (F.col(digest) == F.col(held_digest)), "left")
+    # few rows go or are repeated: the texts of the others are not shuffled
+    joined = tagged.join(F.broadcast(side) if judged.count() <= MOST_IDS else side, F.col("doc_id").cast("long").eqNullSafe(F.col(held_id)) & (F.col(digest) == F.col(held_digest)), "left")
     out = joined.filter(F.col(stay).isNull()).select(*docs.columns)
     if judged.filter("stays").isEmpty():
         return out
@@ -306,7 +337,7 @@ def _labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     top = F.max(F.struct("rate", "digest", "n", "pos")).alias("top")
     buckets = heads.groupBy("gram").agg(top, F.count("*").alias("sets")).filter("sets > 1")
     members = written(heads.drop("rate").join(buckets, "gram").select("gram", "digest", "n", "pos", F.col("top.digest").alias("pivot"), F.col("top.n").alias("top_n"), F.col("top.pos").alias("top_pos")), "members")
-    held = written(_texts(source, sets_of, members.select("digest").distinct(), n).mapInArrow(_parts(n), "node binary, part int, held binary").dropDuplicates(["node", "part"]), "parts")
+    held = written(_texts(source, sets_of, members.select("digest").distinct(), n).mapInArrow(_parts(n), "node binary, part int, held binary, wide binary").dropDuplicates(["node", "part"]), "parts")
 
     def fits(n1: str, p1: str, n2: str, p2: str) -> str:
         """Whether sets of these sizes whose first n-gram in common stands at these places may link."""
@@ -327,7 +358,9 @@ def _labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     unlike = "x_root <> y_root AND (x_digest < y_digest OR NOT y_apart) AND " + fits("x_n", "x_pos", "y_n", "y_pos")
     ends = [f("x_digest", "y_digest").alias(c) for f, c in ((F.least, "x"), (F.greatest, "y"))]
     counted = x.join(y, "gram").filter(unlike).select(*ends, (F.col("x_n") + F.col("y_n")).alias("size")).groupBy("x", "y", "size").agg(F.count("*").alias("common"))
-    rest = written(counted.join(tried, ["x", "y"], "left_anti"), "open")
+    wide = held.filter("part = 0").select("node", "wide")
+    either = counted.join(tried, ["x", "y"], "left_anti").join(wide.toDF("x", "wx"), "x").join(wide.toDF("y", "wy"), "y")
+    rest = written(either.select("x", "y", "size", "common", "wx", "wy").mapInArrow(_near(num, den), "x binary, y binary, size long, common long"), "open")
     # each component's likeliest pairs first, as they leave few others open; then all that are
     for most in (4, None):
         ends = root.select("node", "root")
