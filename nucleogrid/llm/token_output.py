@@ -26,10 +26,10 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, Window
 
-from .store import new_path, on_workers, written
+from .store import new_path, on_workers, release, written
 
 #: Words kept with their ids in a worker; beyond, the cache starts anew.
-CACHE_WORDS = 1_600_000
+CACHE_WORDS = 600_000
 #: Rows of a batch in a file.
 BATCH_ROWS = 64
 
@@ -67,26 +67,19 @@ class WordEncoder:
             self.known = {}
         known, words = self.known, coded.dictionary.to_pylist()
         # the tokenizer lower-cases, and parts letters from what isn't one but for an apostrophe
-        whole, bare, stem, tail = [], [], [], []
+        split: dict[str, tuple[str, str]] = {}
         for w in words:
-            if w not in known:
-                m = _BARE.fullmatch(w)
-                if m is None or w.islower() and w.isalpha():
-                    whole.append(w)
-                else:
-                    bare.append(w)
-                    stem.append(m[1].lower())
-                    tail.append(m[2])
-        ask = {x for x in (*whole, *stem, *tail) if x not in known}
+            if w not in known and not (w.islower() and w.isalpha()) and (m := _BARE.fullmatch(w)):
+                split[w] = m[1].lower(), m[2]
+        ask = {w for w in words if w not in known and w not in split}
+        ask.update(x for pair in split.values() for x in pair if x not in known)
         code = "H" if self.type.itemsize == 2 else "I"
         for at in range(0, len(ask), 20_000):
             some = list(islice(ask, at, at + 20_000))
             for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 known[word] = array(code, e.ids).tobytes()
-        for w, x, y in zip(bare, stem, tail, strict=True):
-            known[w] = known[x] + known[y]
         # each word once, then copied to all its places
-        own = [known[w] for w in words]
+        own = [known[split[w][0]] + known[split[w][1]] if w in split else known[w] for w in words]
         pool = np.frombuffer(b"".join(own), self.type)
         size = np.fromiter(map(len, own), np.int64, len(own)) // self.type.itemsize
         begin = np.cumsum(size) - size
@@ -182,13 +175,14 @@ def _writer(folder: str, tokenizer: str, length: int, end_id: int):
         encoder, writer = encoder_of(tokenizer), None
         part, docs = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                rows = batch.slice(a, 500)
+            for a in range(0, batch.num_rows, 2500):
+                rows = batch.slice(a, 2500)
                 if writer is None:
                     name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.arrow"
                     writer = SequenceWriter(name, length, encoder.type)
                 writer.add(rows.column(0), *encoder.encode(rows.column(1), end_id))
                 docs += rows.num_rows
+        release()
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part]), "file": [name], "docs": pa.array([docs]), "tokens": pa.array([writer.total])})
