@@ -23,10 +23,15 @@ def voxel_truncated(c: Column, size: int) -> Column:
     return F.floor(F.least(F.greatest(c.cast("double"), F.lit(0.0)), F.lit(size - 0.9))).cast("long")
 
 
+def hashed_uniform(key: Column, seed: int = 0) -> Column:
+    """A number in [0, 1) that depends on key and seed only: 32 bits of an md5."""
+    name = F.concat(F.lit(f"{seed}:"), key.cast("string"))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") / 4294967296.0
+
+
 def voxel_stochastic(c: Column, key: Column, seed: int = 0) -> Column:
     """Raster index after adding a uniform number that depends on key and seed only."""
-    u = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / float(1 << 30)
-    return F.floor(c + u).cast("long")
+    return F.floor(c + hashed_uniform(key, seed)).cast("long")
 
 
 def ravel(indices: list[Column], shape: list[int]) -> Column:
@@ -80,3 +85,19 @@ def humanised(n: Column) -> Column:
     """Billions, millions or thousands with two decimals."""
     f = lambda d, u: F.format_string("%.2f" + u, n / float(d))
     return F.when(n >= 10**9, f(10**9, "B")).when(n >= 10**6, f(10**6, "M")).when(n >= 1000, f(1000, "K")).otherwise(n.cast("string"))
+
+
+def window(c: Column, size: int) -> tuple[Column, Column]:
+    """Half-open bounds of a patch of ``size`` around a centre."""
+    return c - size // 2, c + (size + 1) // 2
+
+
+def equivalent_radius(volume: Column) -> Column:
+    """Radius of the ball of a volume, truncated."""
+    return F.pow(volume * 0.75 / F.pi(), F.lit(1.0 / 3)).cast("long")
+
+
+def box_wkt() -> Column:
+    """A box (z0 ... x1) as a polygon text of two rings, its lowest and its highest slice."""
+    ring = lambda z: F.concat_ws(", ", *(F.concat_ws(" ", x, y, z) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))))
+    return F.concat(F.lit("POLYGON Z (("), ring("z0"), F.lit("), ("), ring("z1"), F.lit("))"))

@@ -6,10 +6,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def good_fill(value: Column, good: Column, part: list[str], order: str) -> Column:
-    """The last good value, before the first good one the next."""
-    v = F.when(good, value)
-    w = Window.partitionBy(*part).orderBy(order)
-    return F.coalesce(F.last(v, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(v, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    """The last good value, before the first good one the next.  Both frames grow, so a partition is gone through twice, not squared."""
+    v, w = F.when(good, value), Window.partitionBy(*part)
+    before = F.last(v, True).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return F.coalesce(before, F.last(v, True).over(w.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def back_fill(value: Column, good: Column, part: list[str], order: str) -> Column:
+    """The next good value, behind the last good one the last."""
+    v, w = F.when(good, value), Window.partitionBy(*part)
+    behind = F.last(v, True).over(w.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0))
+    return F.coalesce(behind, F.last(v, True).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def last_good_descending(value: Column, good: Column, part: list[str], order: str) -> Column:
@@ -23,9 +30,10 @@ def running(value: Column, part: list[str], order: list[str]) -> Column:
 
 
 def log_step(value: Column, part: list[str], order: str) -> Column:
-    """Difference of the logarithms of the next value and this one; 0 where either is 0."""
+    """Difference of the logarithms of the next value and this one; the logarithm of what isn't positive counts as 0."""
     following = F.lead(value).over(Window.partitionBy(*part).orderBy(order))
-    return F.when(following.isNull(), None).when((following <= 0) | (value <= 0), F.lit(0.0)).otherwise(F.ln(following) - F.ln(value))
+    log = lambda v: F.when(v > 0, F.ln(v)).otherwise(F.lit(0.0))
+    return F.when(following.isNotNull(), log(following) - log(value))
 
 
 def moving_average(df: DataFrame, value: str, part: list[str], order: str, width: int = 7, times: int = 1) -> DataFrame:
@@ -51,15 +59,24 @@ def median3_forward(value: str, part: list[str], order: str) -> Column:
     return F.element_at(held, F.floor((F.size(held) + 1) / 2).cast("int"))
 
 
-def zscore(value: Column, part: list[str]) -> Column:
-    w = Window.partitionBy(*part)
-    return (value - F.avg(value).over(w)) / F.nullif(F.stddev_samp(value).over(w), F.lit(0.0))
+def with_zscore(df: DataFrame, value: str, part: list[str], name: str) -> DataFrame:
+    """Adds the z-score within each part: the parts' moments are aggregated and joined, so a large part is no single task's work."""
+    stats = df.groupBy(*part).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
+    return df.join(stats, part).withColumn(name, (F.col(value) - F.col("_m")) / F.nullif("_s", F.lit(0.0))).drop("_m", "_s")
+
+
+def local_maxima(df: DataFrame, value: str, axes: list[str]) -> DataFrame:
+    """Rows whose value is the largest within one step on every axis, by a maximum along one axis after the other."""
+    out = df.withColumn("_m", F.col(value))
+    for a in reversed(axes):
+        out = out.withColumn("_m", F.max("_m").over(Window.partitionBy(*(x for x in axes if x != a)).orderBy(a).rangeBetween(-1, 1)))
+    return out.filter(F.col("_m") == F.col(value)).drop("_m")
 
 
 def complete_only(df: DataFrame, value: str, member: str) -> DataFrame:
     """Rows whose value occurs with as many members as any value does, the value re-based to 1."""
     counts = df.groupBy(value).agg(F.countDistinct(member).alias("_n"))
     most = counts.agg(F.max("_n").alias("_n"))
-    full = df.join(F.broadcast(counts.join(F.broadcast(most), "_n").select(value)), value)
+    full = df.join(counts.join(F.broadcast(most), "_n").select(value), value)
     low = full.agg(F.min(value).alias("_low"))
     return full.crossJoin(F.broadcast(low)).withColumn("rebased", F.col(value) - F.col("_low") + 1).drop("_low")

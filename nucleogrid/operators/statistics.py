@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from ..workers import with_checkpoints
+
 
 def moments(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
@@ -62,21 +64,20 @@ def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return out
 
 
-def bh_adjusted(p: str, part: list[str], tie: str, dependent: bool = False) -> Column:
-    """p-values adjusted by Benjamini and Hochberg, or for dependent tests by Benjamini and Yekutieli."""
-    whole = Window.partitionBy(*part)
-    order = whole.orderBy(p, tie)
-    m = F.count(p).over(whole)
-    factor = F.sum(F.lit(1.0) / F.row_number().over(order)).over(whole) if dependent else F.lit(1.0)
-    raw = m * factor * F.col(p) / F.row_number().over(order)
-    return raw
-
+def with_bh(df: DataFrame, p: str, part: list[str], tie: str, name: str = "q", dependent: bool = False) -> DataFrame:
+    """Adds p-values adjusted by Benjamini and Hochberg, or for dependent tests by Benjamini and Yekutieli.
 
-def with_bh(df: DataFrame, p: str, part: list[str], tie: str, name: str = "q") -> DataFrame:
-    """Adds the adjusted value: the least of m p / rank over this and larger p, 1 at most."""
-    raw = df.withColumn("_raw", bh_adjusted(p, part, tie))
-    back = Window.partitionBy(*part).orderBy(p, tie).rowsBetween(0, Window.unboundedFollowing)
-    return raw.withColumn(name, F.least(F.min("_raw").over(back), F.lit(1.0))).drop("_raw")
+    The adjusted value is the least of m p / rank over this and larger p, 1 at most; both frames grow with their order.
+    """
+    up = Window.partitionBy(*part).orderBy(p, tie)
+    sized = df.join(df.groupBy(*part).agg(F.count(p).alias("_m")), part)
+    ranked = sized.withColumn("_r", F.row_number().over(up))
+    if dependent:
+        harmonic = sized.groupBy(*part).agg(F.first("_m").alias("_k")).select(*part, F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest("_k", F.lit(1).cast("long"))), F.lit(0.0), lambda s, i: s + 1.0 / i).alias("_f"))
+        ranked = ranked.join(harmonic, part)
+    raw = ranked.withColumn("_raw", (F.col("_f") if dependent else F.lit(1.0)) * F.col("_m") * F.col(p) / F.col("_r"))
+    down = Window.partitionBy(*part).orderBy(F.desc(p), F.desc(tie)).rowsBetween(Window.unboundedPreceding, 0)
+    return raw.withColumn(name, F.least(F.min("_raw").over(down), F.lit(1.0))).drop("_raw", "_m", "_r", "_f")
 
 
 def stars(q: Column) -> Column:
@@ -85,9 +86,9 @@ def stars(q: Column) -> Column:
 
 def within_sigma(df: DataFrame, value: str, part: list[str], k: float, closed: bool) -> DataFrame:
     """Rows no more (closed) or less than k population standard deviations from the mean of their part."""
-    w = Window.partitionBy(*part)
-    far = F.abs(F.col(value) - F.avg(value).over(w)) - k * F.stddev_pop(value).over(w)
-    return df.withColumn("_far", far).filter(F.col("_far") <= 0 if closed else F.col("_far") < 0).drop("_far")
+    stats = df.groupBy(*part).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    far = F.abs(F.col(value) - F.col("_m")) - k * F.col("_s")
+    return df.join(stats, part).withColumn("_far", far).filter(F.col("_far") <= 0 if closed else F.col("_far") < 0).drop("_far", "_m", "_s")
 
 
 def percentile_nearest_rank(df: DataFrame, value: str, part: list[str], p: float) -> DataFrame:
@@ -105,16 +106,37 @@ def percentile_half_sample(df: DataFrame, value: str, part: list[str], p: float)
     return near.groupBy(*part).agg(F.sum(F.col(value) * F.col("_w")).alias("p"))
 
 
-def hash_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+def percentile_floor_rank(df: DataFrame, value: str, part: list[str], p: float) -> DataFrame:
+    """The value of rank floor(n p), of rank 1 at least."""
+    w = Window.partitionBy(*part)
+    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
+    return ranked.filter(F.col("_r") == F.greatest(F.floor(F.col("_n") * p), F.lit(1))).select(*part, F.col(value).alias("p"))
 
 
-def assigned(pairs: Iterator[tuple[int, int, float]]) -> list[tuple[int, int]]:
-    """Greedy one-to-one assignment: the best pair left, again and again; of equals the smallest ids."""
-    used_a, used_b, out = set(), set(), []
-    for a, b, _ in sorted(pairs, key=lambda x: (-x[2], x[0], x[1])):
-        if a not in used_a and b not in used_b:
-            used_a.add(a)
-            used_b.add(b)
-            out.append((a, b))
-    return out
+def hash_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n rows by the md5 of seed and key."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)
+
+
+def mutual_best(pairs: DataFrame, a: str, b: str, score: str) -> DataFrame:
+    """Pairs that are the best of either end: the highest score, of equals the smallest other end."""
+    best = lambda k, other: pairs.groupBy(k).agg(F.max(F.struct(score, (-F.col(other)).alias("o"))).alias("m")).select(k, (-F.col("m.o")).alias(other))
+    return pairs.join(best(a, b), [a, b]).join(best(b, a), [b, a])
+
+
+def one_to_one(pairs: DataFrame, a: str, b: str, score: str) -> DataFrame:
+    """Greedy assignment: the best pair left, again and again; of equals that with the smallest ends.
+
+    All pairs that are the best of both their ends are taken at once, which gives the same result
+    as one after the other, as no later pair could have come between.  Each round is a checkpoint.
+    """
+    with_checkpoints(pairs.sparkSession)
+    total = F.struct(F.col(score), (-F.col(a)).alias("na"), (-F.col(b)).alias("nb"))
+    left, out = pairs.select(a, b, score).checkpoint(), None
+    while not left.isEmpty():
+        ranked = left.withColumn("_k", total)
+        tops = ranked.join(ranked.groupBy(a).agg(F.max("_k").alias("_a")), a).join(ranked.groupBy(b).agg(F.max("_k").alias("_b")), b)
+        won = tops.filter("_k = _a AND _k = _b").select(a, b, score).checkpoint()
+        out = won if out is None else out.unionByName(won)
+        left = left.join(won.select(a), a, "left_anti").join(won.select(b), b, "left_anti").checkpoint()
+    return pairs.select(a, b, score).limit(0) if out is None else out

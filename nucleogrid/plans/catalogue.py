@@ -216,7 +216,7 @@ def zmerge_single_hop(spark, d):
 
 
 _KNN = """p AS (SELECT brain, label, cy, cx, tile_x FROM boxes), d AS (SELECT a.brain, a.label AS a_id, b.label AS b_id, (a.cy - b.cy) * (a.cy - b.cy) + (a.cx - b.cx) * (a.cx - b.cx) AS d2
-    FROM p a JOIN p b ON a.brain = b.brain AND a.tile_x = 0 AND b.tile_x = 1 AND a.label % 20 = 0)"""
+    FROM p a JOIN p b ON a.brain = b.brain AND a.tile_x = 0 AND b.tile_x = 1)"""
 
 
 @query("SELECT brain, a_id, b_id, CAST(d2 AS DOUBLE) AS d2, rank FROM (SELECT *, row_number() OVER (PARTITION BY brain, a_id ORDER BY d2, b_id) AS rank FROM d) WHERE rank <= 2", V.BOXES, _KNN)
@@ -274,7 +274,7 @@ def cumulative_tile_offset(spark, d):
 @query("SELECT label, rid FROM regioned", V.BOXES, V.REGIONED)
 def annotate_points(spark, d):
     p = V.boxes(spark, d).select("label", *(F.floor(F.col(f"c{a}") / 50).alias(f"b{a}") for a in "zyx"))
-    return regions.annotated(p, F.broadcast(V.atlas(spark)), ["bz", "by", "bx"]).select("label", "rid")
+    return regions.annotated(p, V.atlas(spark), ["bz", "by", "bx"]).select("label", "rid")
 
 
 @query("SELECT brain, rid, CAST(sum(volume) AS BIGINT) AS total, round(sum(volume) / count(*), 6) AS density, round(avg(volume), 6) AS mean FROM regioned WHERE rid <> 0 GROUP BY ALL", V.BOXES, V.REGIONED)
@@ -301,7 +301,7 @@ def ancestor_bin(spark, d):
     return regions.binned(rows, o, o.filter("id IN ('r0', 'r1', 'r2')")).select("label", "bin")
 
 
-@query("SELECT id FROM ontology WHERE id LIKE 'n%'", V.ONTOLOGY)
+@query("SELECT id FROM ontology o WHERE NOT EXISTS (SELECT 1 FROM ontology c WHERE c.id <> o.id AND c.path LIKE '%/' || o.id || '/%')", V.ONTOLOGY)
 def deepest_structures(spark, d):
     return regions.deepest(V.ontology(spark, d)).select("id")
 
@@ -332,13 +332,13 @@ def cohort_join_default(spark, d):
     return V.table(spark, d, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", F.coalesce("n_name", F.lit("none")).alias("nation"), F.coalesce(F.col("n_regionkey").cast("long"), F.lit(-1)).alias("region"))
 
 
-_FIRSTS = "firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY roi, pair, gene ORDER BY s_suppkey) AS k FROM cohort) WHERE k = 1)"
+_FIRSTS = "firsts AS (SELECT * FROM (SELECT roi, pair, gene, value, row_number() OVER (PARTITION BY roi, pair, gene ORDER BY s_suppkey) AS k FROM (SELECT s_suppkey % 3 AS roi, pair, gene, value, s_suppkey FROM cohort)) WHERE k = 1)"
 
 
 @query("SELECT a.roi, a.pair, round(b.value - a.value, 6) AS diff FROM firsts a JOIN firsts b ON a.roi = b.roi AND a.pair = b.pair AND a.gene = 0 AND b.gene = 1", V.COHORT, _FIRSTS)
 def pair_match(spark, d):
     w = Window.partitionBy("roi", "pair", "gene").orderBy("s_suppkey")
-    f = V.cohort(spark, d).withColumn("k", F.row_number().over(w)).filter("k = 1")
+    f = V.cohort(spark, d).withColumn("roi", F.col("s_suppkey") % 3).withColumn("k", F.row_number().over(w)).filter("k = 1")
     a, b = (f.filter(f"gene = {g}").select("roi", "pair", F.col("value").alias(f"v{g}")) for g in (0, 1))
     return a.join(b, ["roi", "pair"]).select("roi", "pair", r6(F.col("v1") - F.col("v0"), "diff"))
 
@@ -379,11 +379,16 @@ def t_statistic(spark, d):
     return _two_groups(spark, d).select("roi", r6(t, "t"), r6(df, "df"))
 
 
-@query()
+_POOLED = """pooled AS (SELECT a.roi, a.n + b.n - 2 AS df, (a.mean - b.mean) / sqrt(((a.n - 1) * a.sd * a.sd + (b.n - 1) * b.sd * b.sd) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n)) AS t FROM m a JOIN m b ON a.roi = b.roi AND a.gene = 0 AND b.gene = 1),
+    density AS (SELECT roi, df, t, i, exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(df * pi()) * pow(1 + pow(abs(t) * i / 2000.0, 2) / df, -(df + 1) / 2.0) AS f FROM pooled, range(2001) r(i))"""
+
+
+@query("SELECT roi, round(any_value(t), 6) AS t, CAST(any_value(df) AS DOUBLE) AS df, round(1 - 2 * any_value(abs(t)) / 6000.0 * sum(f * CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END), 6) AS p FROM density GROUP BY roi", _ACCT, _MOMENTS, _POOLED)
 def t_pvalue(spark, d):
+    """The SQL integrates the density by Simpson's rule."""
     on_workers(spark)
     t, df = S.pooled()
-    return _two_groups(spark, d).select("roi", t.alias("t"), df.alias("df")).withColumn("p", S.t_pvalue("t", "df"))
+    return _two_groups(spark, d).select("roi", t.alias("t"), df.alias("df")).select("roi", r6(F.col("t"), "t"), "df", r6(S.t_pvalue("t", "df"), "p"))
 
 
 _P = "p AS (SELECT s_suppkey AS id, roi, ((s_suppkey * 7919) % 1000 + 1) / 1001.0 AS p FROM cohort)"
@@ -411,12 +416,12 @@ def class_share(spark, d):
     return V.regions(V.boxes(spark, d)).groupBy("rid").agg(n.alias("n"), F.count("*").alias("total"), r6(100.0 * n / F.count("*"), "percent"))
 
 
-@query("SELECT brain, label FROM boxes, (SELECT 0.5 * avg(volume) + 0.25 * stddev_samp(volume) + 0.1 * median(volume) AS t FROM boxes) WHERE volume > t", V.BOXES)
+@query("SELECT brain, label FROM boxes, (SELECT 0.4 * avg(volume) + 0.25 * stddev_samp(volume) + 0.1 * median(volume) + 0.2 * any_value(mad) + 0.1 * any_value(q) AS t FROM boxes, (SELECT avg(abs(volume - m)) AS mad FROM boxes, (SELECT avg(volume) AS m FROM boxes)), (SELECT sum(volume * greatest(1 - abs(r - place), 0)) AS q FROM (SELECT volume, row_number() OVER (ORDER BY volume, label) AS r, least(greatest(count(*) OVER () * 0.9 + 0.5, 1), count(*) OVER ()) AS place FROM boxes))) WHERE volume > t", V.BOXES)
 def threshold_expr(spark, d):
-    from ..operators.classes import threshold
+    from ..operators.classes import threshold_of
 
     b = V.boxes(spark, d)
-    return b.crossJoin(F.broadcast(b.agg(threshold("0.5*mean 0.25*std 0.1*median", "volume").alias("t")))).filter("volume > t").select("brain", "label")
+    return b.crossJoin(F.broadcast(threshold_of(b, "0.4*mean + 0.25*std 0.1*median + 0.2*mad 0.1*prctile(90)", "volume"))).filter("volume > threshold").select("brain", "label")
 
 
 @query("SELECT label, volume % 2 + 2 * (h - 2) AS class FROM boxes", V.BOXES)
@@ -463,7 +468,7 @@ def top10_mean(spark, d):
     return V.voxels(spark, d).withColumn("r", F.row_number().over(w)).filter("r <= 10").groupBy("y").agg(r6(F.avg("v"), "top10"))
 
 
-@query()
+@query("SELECT label FROM boxes ORDER BY md5('7:' || label), label LIMIT 100", V.BOXES)
 def sample_hash(spark, d):
     return S.hash_sample(V.boxes(spark, d), "label", 100, 7).select("label")
 
@@ -475,9 +480,11 @@ def weighted_overlap_mean(spark, d):
 
 # series
 
-@query("SELECT tile, z, CASE WHEN n IS NULL THEN NULL WHEN n <= 0 OR value <= 0 THEN 0 ELSE round(ln(n) - ln(value), 6) END AS step FROM (SELECT *, lead(value) OVER (PARTITION BY tile ORDER BY z) AS n FROM shifts)", V.SHIFTS)
+@query("SELECT tile, z, CASE WHEN n IS NOT NULL THEN round(CASE WHEN n > 0 THEN ln(n) ELSE 0 END - CASE WHEN value > 0 THEN ln(value) ELSE 0 END, 6) END AS step FROM (SELECT tile, z, value, lead(value) OVER (PARTITION BY tile ORDER BY z) AS n FROM (SELECT tile, z, CASE WHEN z % 7 = 0 THEN 0 ELSE value END AS value FROM shifts))", V.SHIFTS)
 def log_diff(spark, d):
-    return V.shifts(spark, d).select("tile", "z", r6(series.log_step(F.col("value"), ["tile"], "z"), "step"))
+    """Every seventh value is 0, whose logarithm counts as 0."""
+    v = V.shifts(spark, d).withColumn("value", F.when(F.col("z") % 7 == 0, 0.0).otherwise(F.col("value")))
+    return v.select("tile", "z", r6(series.log_step(F.col("value"), ["tile"], "z"), "step"))
 
 
 @query("SELECT tile, z, round(a, 6) AS value FROM (SELECT tile, z, avg(value) OVER w AS a, count(*) OVER w AS n FROM shifts WINDOW w AS (PARTITION BY tile ORDER BY z ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)) WHERE n = 7", V.SHIFTS)
@@ -498,7 +505,7 @@ def median3_forward(spark, d):
 
 @query("SELECT event_id, round((value - avg(value) OVER (PARTITION BY event_type)) / nullif(stddev_samp(value) OVER (PARTITION BY event_type), 0), 6) AS score FROM events")
 def zscore_by_group(spark, d):
-    return V.table(spark, d, "events").select("event_id", r6(series.zscore(F.col("value"), ["event_type"]), "score"))
+    return series.with_zscore(V.table(spark, d, "events"), "value", ["event_type"], "s").select("event_id", r6(F.col("s"), "score"))
 
 
 # labels against labels
