@@ -24,17 +24,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .store import on_workers
+from .store import on_workers, release
 
 #: Entries of a worker's caches; beyond, a cache starts anew.
 CACHE = 1_500_000
 #: Where a token always ends, whatever comes before or after: before a lone blank between other
-#: characters, and between an ASCII letter and ASCII punctuation.
-_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])")
+#: characters, after it if it is a line's end, and between an ASCII letter and ASCII punctuation.
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)|(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])")
 
 #: A stretch that is one piece for sure: letters of a Latin script, with a blank before them at most.
 _PLAIN = re.compile(r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
 
+#: Stands where a text is cut; a text that has it itself is cut another way.
+MARK = "\x01"
+
 #: Two kinds of white space side by side: there a blank isn't a cut.
 _WIDE = re.compile(r"\s\s")
 
@@ -70,8 +73,6 @@ class PrefixCounter:
         self.whole: dict[str, bool] = {}
         self.pieces: dict[str, list[int]] = {}
         self.stretches: dict[str, bytes] = {"": b""}
-        #: Tables of what stands behind a lone blank, the blank's included.
-        self.behind: dict[str, bytes] = {}
 
     def piece(self, p: str) -> list[int]:
         """Token counts of the first 1, 2, ... bytes of a piece, one letter for each byte."""
@@ -144,59 +145,51 @@ class PrefixCounter:
         return differences([0, *counts])
 
     def easy(self, text: str | None) -> bool:
-        """Whether each blank of a text parts its tokens, so that it is the words between blanks that have tables."""
-        return bool(text) and not (self.special and self.special.search(text) or _WIDE.search(text) or text[0].isspace() or text[-1].isspace())
+        """Whether all blanks of a text are lone, so that it can be cut at fixed characters."""
+        return bool(text) and not (self.special and self.special.search(text) or _WIDE.search(text) or MARK in text or text[0].isspace() or text[-1].isspace())
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Tables of words that stand behind a lone blank.  New ones are taken in order, so that each shares the work on its first letters with the next."""
-        for held, most in ((self.stretches, CACHE // 2), (self.pieces, CACHE // 4), (self.fits, CACHE // 2), (self.behind, CACHE)):
+    def learn(self, stretches: Iterable[str]) -> None:
+        """Tables of stretches.  New words are taken in order, so that each shares the work on its first letters with the next."""
+        for held, most in ((self.stretches, CACHE), (self.pieces, CACHE // 4), (self.fits, CACHE // 2)):
             if len(held) > most:
                 held.clear()
         self.stretches[""] = b""
-        known, plain, mixed = self.behind, {}, {}
-        for w in words:
-            if w in known:
-                continue
-            parts = _CUT.split(" " + w)
-            simple = _PLAIN.fullmatch(parts[0])
-            if len(parts) > 1 or not simple:
-                mixed[w] = parts
-            if simple and (first := parts[0][1:]) not in known:
-                plain[parts[0].encode().decode("latin-1").translate(self.letters)] = first
+        known, plain = self.stretches, {}
+        for p in stretches:
+            if p not in known:
+                if _PLAIN.fullmatch(p):
+                    plain[p if p.isascii() and p[0] != " " else p.encode().decode("latin-1").translate(self.letters)] = p
+                else:
+                    known[p] = self.stretch(p)
         order = sorted(plain)
         for p, count in zip(order, self.counts(order), strict=True):
             known[plain[p]] = differences(count)
-        for w, (first, *rest) in mixed.items():
-            own = known[first[1:]] if _PLAIN.fullmatch(first) else self.any(first)
-            known[w] = own + b"".join(map(self.any, rest))
 
     def totals(self, texts: pa.Array) -> np.ndarray:
-        """The last entry of each text's table: those of its stretches added up, each distinct word looked up once."""
+        """The last entry of each text's table: those of its stretches added up, each distinct one looked up once."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         easy = np.array([self.easy(t) for t in texts.to_pylist()], bool)
-        out = np.zeros(len(texts), np.int64)
-        words = pc.split_pattern(texts.filter(pa.array(easy)), " ")
-        offsets, flat = words.offsets.to_numpy(), words.flatten()
-        first = np.zeros(len(flat), bool)
-        first[offsets[:-1]] = True
-        coded = flat.filter(pa.array(~first)).dictionary_encode()
+        cut = pc.replace_substring(texts.filter(pa.array(easy)), " ", MARK + " ")
+        cut = pc.replace_substring(cut, "\n", MARK + "\n" + MARK)
+        cut = pc.replace_substring_regex(cut, r"([A-Za-z])([!-/:-@\[-`{-~])", rf"\1{MARK}\2")
+        parts = pc.split_pattern(cut, MARK)
+        coded = parts.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         self.learn(distinct)
-        sums = np.concatenate((_sums([self.behind[w] for w in distinct])[coded.indices.to_numpy()], [0]))
-        begin = offsets[:-1] - np.arange(len(offsets) - 1)
-        through = np.concatenate(([0], np.cumsum(sums)))
-        out[easy] = through[np.append(begin[1:], len(sums) - 1)] - through[begin] + _sums([self.any(w) for w in flat.filter(pa.array(first)).to_pylist()])
-        out[~easy] = _sums([self.table(t) for t in texts.filter(pa.array(~easy)).to_pylist()])
+        through = np.concatenate(([0], np.cumsum(_sums([self.stretches[p] for p in distinct])[coded.indices.to_numpy()])))
+        out = np.zeros(len(texts), np.int64)
+        out[easy] = np.diff(through[parts.offsets.to_numpy()])
+        out[~easy] = _sums(self.tables(texts.filter(pa.array(~easy)).to_pylist()))
         return out
 
     def tables(self, texts: list[str | None]) -> list[bytes]:
         """The tables of many texts."""
-        split = [t.split(" ") if self.easy(t) else None for t in texts]
-        self.learn({w for words in split if words for w in words[1:]})
-        return [self.any(words[0]) + b"".join([self.behind[w] for w in words[1:]]) if words else self.table(t) for t, words in zip(texts, split, strict=True)]
+        split = [_CUT.split(t) if t and not (self.special and self.special.search(t)) else None for t in texts]
+        self.learn({p for parts in split if parts for p in parts})
+        return [b"".join([self.stretches[p] for p in parts]) if parts else self.table(t) for t, parts in zip(texts, split, strict=True)]
 
     def any(self, text: str) -> bytes:
-        """The table of a short text without special strings that ends and begins where tokens do."""
+        """The table of a text without special strings."""
         parts = _CUT.split(text)
         for p in parts:
             if p not in self.stretches:
@@ -260,6 +253,7 @@ def _tables(tokenizer: str, limit: int, keep: bool):
             n = _sums(tables) if keep else counter.totals(texts)
             out = [batch.column(0), size, pa.array(n), pa.array(n > limit)]
             yield pa.RecordBatch.from_arrays(out + [pa.array(tables, pa.binary())] * keep, names=["doc_id", "n_bytes", "n_tokens", "over_limit", "prefix_table"][: 4 + keep])
+        release()
 
     return run
 
