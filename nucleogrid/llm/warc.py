@@ -9,6 +9,8 @@ that refer to it; a revisit's block has HTTP headers only, as the format has it.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,10 +27,14 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 @dataclass
 class Archive:
-    """Tables of an archive: headers (page_id, payload_digest, header, http) and payloads (payload_digest, payload)."""
+    """Tables of an archive: headers (page_id, payload_digest, header, http) and packed payloads (payload_digest, payload)."""
 
     headers: DataFrame
-    payloads: DataFrame
+    packed: DataFrame
+
+    @property
+    def payloads(self) -> DataFrame:
+        return self.packed.mapInArrow(_unpack, "payload_digest string, payload binary")
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +71,8 @@ def write(pages: DataFrame, least: int = 100, date: str = "2024-01-01T00:00:00Z"
 
     A null html is an empty payload, a null url has no target line.  Rows tied for the smallest
     page_id of a payload are responses all; of rows without a page_id, none is referred to.
-    Other columns are not read.
+    Repeated rows have a record each.  Payloads of any length are whole rows.  An empty table is an
+    archive of no record.  Other columns, whatever their names, are not read.
     """
     spark = pages.sparkSession
     on_workers(spark)
@@ -92,36 +99,68 @@ def write(pages: DataFrame, least: int = 100, date: str = "2024-01-01T00:00:00Z"
         F.lit(CRLF),
     )
     records.withColumn("http", http).select("page_id", "payload_digest", header.alias("header"), "http").write.option("compression", "zstd").parquet(f"{path}/headers")
-    # each payload once: the row with the smallest page_id has it
-    packed = named.select("payload_digest", "page_id", "payload").mapInArrow(_pack, "payload_digest string, page_id long, payload binary")
-    held = packed.join(one.select("payload_digest", "first"), "payload_digest").filter(F.col("page_id").eqNullSafe(F.col("first"))).select("payload_digest", "payload")
+    # each payload once; rows of a digest have the same bytes, of which each task sends one
+    held = named.select("payload_digest", "payload").mapInArrow(_pack, "payload_digest string, payload binary")
     held.dropDuplicates(["payload_digest"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
-    payloads = spark.read.parquet(f"{path}/payloads").mapInArrow(_unpack, "payload_digest string, payload binary")
-    return Archive(spark.read.parquet(f"{path}/headers"), payloads)
+    return Archive(spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads"))
+
+
+def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, record) of rows (page_id, kind, header, http, packed payload); a revisit has no payload of its own."""
+    tool = zstandard.ZstdDecompressor()
+    for batch in batches:
+        out = []
+        for page, kind, header, http, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if kind == "response" and payload is None:
+                raise ValueError(f"the payload of page {page} is missing")
+            out.append(header.encode() + http.encode() + (tool.decompress(payload) if kind == "response" else b"") + b"\r\n\r\n")
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["page_id", "record"])
+    release()
+
+
+def _rows(archive: Archive) -> DataFrame:
+    """(page_id, kind, header, http, payload): payloads, still packed, go to responses only."""
+    kind = F.regexp_extract("header", r"\AWARC/1\.1\r\nWARC-Type: ([a-z]+)\r\n", 1)
+    headers = archive.headers.withColumn("kind", kind)
+    responses = headers.filter("kind = 'response'").join(archive.packed, "payload_digest", "left")
+    return responses.unionByName(headers.filter("kind <> 'response'"), allowMissingColumns=True).select("page_id", "kind", "header", "http", "payload")
 
 
 def records(archive: Archive) -> DataFrame:
     """(page_id, record): the whole bytes of each record, its payload joined in by digest."""
-    block = F.when(F.col("header").contains("WARC-Type: revisit"), F.lit(b"")).otherwise(F.col("payload"))
-    return archive.headers.join(archive.payloads, "payload_digest").select("page_id", F.concat(F.col("header").cast("binary"), F.col("http").cast("binary"), block, F.lit(b"\r\n\r\n")).alias("record"))
+    return _rows(archive).mapInArrow(_rebuilt, "page_id long, record binary")
+
+
+def parsed(record: bytes) -> tuple[int | None, int, str, str, int | None, bool]:
+    """page_id, payload bytes, payload digest, type, refers_to and whether its payload is there and intact, of a record's bytes."""
+    head, _, rest = record.partition(b"\r\n\r\n")
+    fields = dict(line.split(": ", 1) for line in head.decode().split(CRLF)[1:])
+    block, end = rest[: int(fields["Content-Length"])], rest[int(fields["Content-Length"]) :]
+    http, _, payload = block.partition(b"\r\n\r\n")
+    said = fields["WARC-Payload-Digest"].removeprefix("sha256:")
+    size = int(dict(line.split(": ", 1) for line in http.decode().split(CRLF)[1:])["Content-Length"])
+    number = lambda name: None if (found := re.fullmatch(r"<urn:page:(-?\d+)>", fields.get(name, ""))) is None else int(found[1])
+    whole = end == b"\r\n\r\n" and (len(payload) == size and hashlib.sha256(payload).hexdigest() == said if fields["WARC-Type"] == "response" else not payload)
+    return number("WARC-Record-ID"), size, said, fields["WARC-Type"], number("WARC-Refers-To"), whole
 
 
-def field(header: Column, name: str) -> Column:
-    """A field of a WARC header, null if it is not there."""
-    value = F.regexp_extract(header, rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
-    return F.when(value != "", value)
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _rebuilt(batches):
+        found = list(zip(*map(parsed, batch.column(1).to_pylist()), strict=True)) or [()] * 6
+        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, types, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"])
 
 
 def read(archive: Archive) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record, from the archive.
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record, parsed from its rebuilt bytes.
 
-    Every payload is measured and digested anew as it is read; a record whose payload is missing
-    or isn't what its header names ends the job with an error.
+    Every payload is measured and digested anew as it is read.  A record whose payload is missing
+    or isn't what its header names ends the job with an error, as does a revisit of a payload
+    that no response has.
     """
-    found = archive.payloads.select("payload_digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("digest"))
-    rows = archive.headers.join(found, "payload_digest", "left")
-    named = F.regexp_extract(field(F.col("header"), "WARC-Payload-Digest"), "^sha256:([0-9a-f]{64})$", 1)
-    intact = F.coalesce((F.col("digest") == F.col("payload_digest")) & (named == F.col("digest")), F.lit(False))
-    digest = F.when(intact, F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("payload of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(" is not intact"))))
-    refers = F.regexp_extract(field(F.col("header"), "WARC-Refers-To"), r"^<urn:page:(-?\d+)>$", 1)
-    return rows.select("page_id", "payload_bytes", digest.alias("payload_digest"), field(F.col("header"), "WARC-Type").alias("record_type"), F.when(refers != "", refers.cast("long")).alias("refers_to"))
+    found = _rows(archive).mapInArrow(_parsed, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean")
+    held = archive.packed.select("payload_digest", F.lit(True).alias("held"))
+    rows = found.join(held, "payload_digest", "left")
+    wrong = F.raise_error(F.concat(F.lit("payload of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(" is not intact")))
+    digest = F.when(F.col("intact") & F.col("held"), F.col("payload_digest")).otherwise(wrong)
+    return rows.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")

@@ -72,3 +72,28 @@ def test_languages_of_a_rare_script_are_told_apart(spark):
     d = spark.createDataFrame(rows, DOC)
     got = {r.doc_id: r.lang_pred for r in langid.identify(d, langid.train(d, F.col("doc_id") % 3 != 1)).collect()}
     assert got == {r[0]: r[2] for r in rows}
+
+
+def test_rows_of_one_vec_id_keep_their_own_links(spark):
+    from nucleogrid.llm import near_dup_vectors
+
+    v, w, far = [1.0, 0.0, 0.05], [1.0, 0.05, 0.0], [0.0, 1.0, 0.0]
+    run = lambda rows: sorted((r.vec_id, r.n_links, r.component_id) for r in near_dup_vectors.vector_components(spark.createDataFrame([(i, x, 0) for i, x in rows], "vec_id long, embedding array<double>, label int").withColumn("node", F.lit("mine")).withColumn("copy", F.lit(1)), 0.98).collect())
+    assert run([(1, v), (1, far), (2, w)]) == [(1, 0, 1), (1, 1, 1), (2, 1, 1)]
+    assert run([(1, v), (1, w), (2, w)]) == [(1, 2, 1), (1, 2, 1), (2, 2, 1)]
+    assert run([]) == []
+
+
+def test_records_are_parsed_from_their_bytes(spark):
+    from nucleogrid.llm import warc
+
+    long = "long <p>é</p> " * 400_000
+    rows = [(5, "http://x/?WARC-Type: revisit", "hello world", 1), (5, "http://x/?WARC-Type: revisit", "hello world", 1), (9, "u", long, 1), (2, "v", long, 1), (None, "v", long, 1), (None, None, None, 1)]
+    archive = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string, header long"))
+    assert sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read(archive).collect()), key=str) == sorted([(5, 11, "response", None), (5, 11, "response", None), (9, len(long.encode()), "revisit", 2), (2, len(long.encode()), "response", None), (None, len(long.encode()), "response", None), (None, 0, "response", None)], key=str)
+    assert all(bytes(r.record).endswith(b"hello world\r\n\r\n") for r in warc.records(archive).collect() if r.page_id == 5)
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.read(warc.write(empty)).count() == 0
+    broken = warc.Archive(archive.headers, archive.packed.limit(0))
+    with pytest.raises(Exception, match="missing|not intact"):
+        warc.read(broken).collect()
