@@ -109,19 +109,21 @@ def vector_components(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     Rows link when their labels are equal and not null and their cosine is ``cosine`` or more.
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing,
     nor do rows without a vec_id or of different lengths.  Equal vectors are collapsed, so each
-    link of a copy counts though copies aren't paired; rows of one vec_id count as different.
+    link of a copy counts though copies aren't paired; rows of one vec_id count as different, each
+    with the links of its own vector.  An empty table gives none.  Other columns are not read.
     """
     on_workers(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("embedding", lambda v: v != 0)
     keyed = written(rows.withColumn("copy", F.when(usable, F.sha2(F.concat_ws(" ", "label", F.to_json("embedding")), 256))), "vectors")
-    # one node per distinct vector of a label; its size counts its copies
-    nodes = written(keyed.filter("copy IS NOT NULL").groupBy("copy").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("size"), F.first("label").alias("label"), F.first("embedding").alias("embedding")), "nodes")
+    # one node per distinct vector of a label, numbered as the table is written; its size counts its copies
+    nodes = keyed.filter("copy IS NOT NULL").groupBy("copy").agg(F.min("vec_id").alias("first"), F.count("*").alias("size"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     return _linked(keyed, nodes, cosine)
 
 
 def _linked(keyed: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
-    cells = nodes.select("vec_id", "size", "label", "embedding").mapInArrow(_cells(cosine), "vec_id long, size long, label string, vector binary, cell string, stored boolean")
+    cells = nodes.select(F.col("node").alias("vec_id"), "size", "label", "embedding").mapInArrow(_cells(cosine), "vec_id long, size long, label string, vector binary, cell string, stored boolean")
     dense = cells.groupBy("label", "cell").agg(F.count_if("stored").alias("s"), F.count_if(~F.col("stored")).alias("a")).filter(f"greatest(s, a) > {TILE}")
     dense = written(dense.select("label", "cell", F.ceil(F.col("s") / TILE).alias("s"), F.ceil(F.col("a") / TILE).alias("a")), "dense")
     split = cells.join(dense, ["label", "cell"], "left").withColumns({"s": F.greatest(F.coalesce("s", F.lit(1)), F.lit(1)), "a": F.greatest(F.coalesce("a", F.lit(1)), F.lit(1))})
@@ -130,10 +132,11 @@ def _linked(keyed: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
     dealt = split.withColumn("ts", F.explode(F.when(F.col("stored"), F.array(own("s"))).otherwise(every("s")))).withColumn("ta", F.explode(F.when(F.col("stored"), every("a")).otherwise(F.array(own("a")))))
     met = dealt.groupBy("label", "cell", "ts", "ta").applyInPandas(_links(cosine), "vec_id long, n long, near long")
     found = written(met, "links")
-    links = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
+    links = found.groupBy("vec_id").agg(F.sum("n").alias("n")).withColumnRenamed("vec_id", "node")
     roots = components(found, "vec_id", "near")
-    per_node = nodes.select("copy", F.col("vec_id").alias("node"), "size").join(links.withColumnRenamed("vec_id", "node"), "node", "left").join(roots, "node", "left")
-    linked = keyed.select("vec_id", "copy").join(per_node.select("copy", "size", "n", F.coalesce("root", "node").alias("root")), "copy", "left")
-    return linked.select(
-        "vec_id", (F.coalesce("n", F.lit(0)) + F.coalesce(F.col("size") - 1, F.lit(0))).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"), (F.coalesce("root", "vec_id") == F.col("vec_id")).alias("kept")
-    )
+    per_node = nodes.select("copy", "node", "first", "size").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = per_node.groupBy("root").agg(F.min("first").alias("lowest"))
+    known = per_node.join(lowest, "root").select("copy", "size", "n", "lowest")
+    linked = keyed.select("vec_id", "copy").join(known, "copy", "left")
+    component = F.coalesce("lowest", "vec_id")
+    return linked.select("vec_id", (F.coalesce("n", F.lit(0)) + F.coalesce(F.col("size") - 1, F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
