@@ -12,12 +12,10 @@ Files get a fresh name per attempt; the manifest, written last, names those that
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +32,12 @@ CACHE_WORDS = 600_000
 BATCH_ROWS = 64
 
 
-_BARE = re.compile(r"([A-Za-z]+)([^A-Za-z'<>|\x80-\U0010ffff]*)")
+#: A blank put between an ASCII letter and ASCII that is no letter, apostrophe, bracket or bar parts what the tokenizer parts anyway.
+_BARE = r"([A-Za-z])([!-&(-;=?@\[-`{}~])"
+
+#: Texts on which a tokenizer must give the ids of its words, else it is given whole texts.
+_PROBES = ("Hello, World! (a)b... x1y2", "don't it's 'tis O'Neil's", "\u00c9T\u00c9 na\u00efve Ab.Cd, \u65e5\u672c abc\u65e5.", "<|endoftext|> a|b <c> <UNK> [UNK] [MASK]x", "A-b_c d/e\n\nf\tg  h", "no.9 v2.0 3rd A1 10,000.50%", "ab\u00e9.cd \u0130x. \u00df,")
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -46,9 +49,11 @@ def encoder_of(path: str) -> WordEncoder:
 
 
 class WordEncoder:
-    """Encodes whole texts with a tokenizer that drops white space, remembering each word's ids.
+    """Encodes whole texts, remembering each word's ids.
 
-    Such a tokenizer never joins what a blank separates, so a text's ids are those of its words.
+    For a tokenizer that drops white space, lower-cases ASCII and parts letters from punctuation, a
+    text's ids are those of its words.  Whether it is one is tried when it is loaded; any other
+    one, and added tokens that a cut would change, have whole texts encoded.
     """
 
     def __init__(self, path: str):
@@ -58,28 +63,37 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        probes = [*_PROBES, *(f"x {t} y{t}z" for t in added)]
+        split = [self.cut(pa.array([p], pa.large_string()))[0].as_py() for p in probes]
+        self.by_word = all([t] == self.cut(pa.array([t], pa.large_string()))[0].as_py() for t in added) and all(b"".join(self.ids(w)) == self.ids([p])[0] for w, p in zip(split, probes, strict=True))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        code = "H" if self.type.itemsize == 2 else "I"
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def cut(texts: pa.Array) -> pa.Array:
+        """The words of each text, ASCII lower-cased."""
+        return pc.ascii_split_whitespace(pc.ascii_lower(pc.replace_substring_regex(texts, _BARE, r"\1 \2")))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other and each ended by ``end_id``, and how many each has."""
-        parts = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-        offsets, coded = parts.offsets.to_numpy(), parts.flatten().dictionary_encode()
-        if len(self.known) > CACHE_WORDS:
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if self.by_word:
+            parts = self.cut(texts)
+            offsets, coded = parts.offsets.to_numpy(), parts.flatten().dictionary_encode()
+        else:
+            offsets, coded = np.arange(len(texts) + 1), texts.dictionary_encode()
+        if len(self.known) > CACHE_WORDS or not self.by_word:
             self.known = {}
         known, words = self.known, coded.dictionary.to_pylist()
-        # the tokenizer lower-cases, and parts letters from what isn't one but for an apostrophe
-        split: dict[str, tuple[str, str]] = {}
-        for w in words:
-            if w not in known and not (w.islower() and w.isalpha()) and (m := _BARE.fullmatch(w)):
-                split[w] = m[1].lower(), m[2]
-        ask = {w for w in words if w not in known and w not in split}
-        ask.update(x for pair in split.values() for x in pair if x not in known)
-        code = "H" if self.type.itemsize == 2 else "I"
+        ask = [w for w in words if w not in known]
         for at in range(0, len(ask), 20_000):
-            some = list(islice(ask, at, at + 20_000))
-            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[word] = array(code, e.ids).tobytes()
+            some = ask[at : at + 20_000]
+            known.update(zip(some, self.ids(some), strict=True))
         # each word once, then copied to all its places
-        own = [known[split[w][0]] + known[split[w][1]] if w in split else known[w] for w in words]
+        own = [known[w] for w in words]
         pool = np.frombuffer(b"".join(own), self.type)
         size = np.fromiter(map(len, own), np.int64, len(own)) // self.type.itemsize
         begin = np.cumsum(size) - size
