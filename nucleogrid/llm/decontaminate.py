@@ -6,24 +6,31 @@ document.  For each document and item that share one, running Karp-Rabin greedy
 of a seed.  The share of an item's words that are marked is its coverage; order doesn't matter,
 so reordered passages are found.
 
-Only a stretch of words that seeds cover can be in a tile, so the tiling sees these alone.
+Of the documents' runs only those go into the join that a Bloom filter of all seeds lets pass.
+The filter has BITS bits whatever the benchmark's size; it alone is broadcast, and what it lets
+pass wrongly finds no partner.  Only a stretch of words that seeds cover can be in a tile, so the
+tiling sees these alone.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import text as T
-from .store import on_workers, release
+from .store import on_workers, release, remove, written
 
-#: Bytes of benchmark text whose seeds are broadcast at once; a larger benchmark is met block by block.
-BLOCK_BYTES = 32 << 20
+#: Logarithm of the bits of the filter of seeds: 8 MB.
+BITS = 26
+#: Most documents (40 bytes each) whose removal is broadcast; beyond that both sides are shuffled.
+MOST_IDS = 1_000_000
 _FIRST_SEARCH, _MULTIPLIER, _MODULUS = 20, 1_000_003, (1 << 61) - 1
 
 
@@ -90,111 +97,146 @@ def tiles(pattern: list[int], text: list[int], least: int) -> list[tuple[int, in
         s = max(least, s // 2)
 
 
-class Seeds:
-    """The items of a block of the benchmark, their words as numbers, and where each seed stands."""
-
-    def __init__(self, items: list[tuple[int, str | None]], seed: int):
-        self.seed = seed
-        self.ids = [i for i, _ in items]
-        data, offsets = T.utf8(pa.array([t for _, t in items], pa.string()))
-        start, end, at = T.words(T.LOWER[data], offsets, T.ALNUM_WORDS)
-        hashes = T.word_hashes(T.LOWER[data], start, end)
-        self.words = [hashes[at[i] : at[i + 1]] for i in range(len(items))]
-        self.by_size = {}
-        for size in {min(seed, len(w)) for w in self.words if len(w)}:
-            own = [(i, T.grams(w, size)) for i, w in enumerate(self.words) if min(seed, len(w)) == size]
-            grams = np.concatenate([g for _, g in own])
-            order = np.argsort(grams, kind="stable")
-            item = np.concatenate([np.full(len(g), i) for i, g in own])
-            maybe = np.zeros(1 << 20, bool)
-            maybe[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.by_size[size] = grams[order], item[order], maybe
-
-    def matches(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int, int]], int]]:
-        """(row, item, tiles, words of the item) where they share a seed."""
-        data = T.LOWER[data]
-        start, end, at = T.words(data, offsets, T.ALNUM_WORDS)
-        hashes = T.word_hashes(data, start, end)
-        for size, (grams, item, maybe) in self.by_size.items():
-            own = T.grams(hashes, size)
-            pos = np.flatnonzero(maybe[(own & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            row = np.searchsorted(at, pos, side="right") - 1
-            fits = pos + size <= at[row + 1]
-            pos, row = pos[fits], row[fits]
-            low, high = np.searchsorted(grams, own[pos]), np.searchsorted(grams, own[pos], side="right")
-            hit: dict[tuple[int, int], list[int]] = defaultdict(list)
-            for j in np.flatnonzero(high > low):
-                for i in set(item[low[j] : high[j]].tolist()):
-                    hit[int(row[j]), i].append(int(pos[j]))
-            for (r, i), seeds in hit.items():
-                known: dict[int, int] = {}
-                numbers = [known.setdefault(int(w), len(known)) for w in self.words[i]]
-                covered, last = [], -1
-                for p in seeds:
-                    if p > last + 1 or last < 0:
-                        covered.append(-1)
-                    covered += range(max(p, last + 1), p + size)
-                    last = max(last, p + size - 1)
-                yield r, i, tiles(numbers, [-1 if p < 0 else known.get(int(hashes[p]), -1) for p in covered], size), len(numbers)
+def _items(seed: int):
+    """(item, item_id, size, words, seeds) of each benchmark row with a word: hashes of its words and of its distinct seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in T.chunks(batch.column(2)):
+                data = T.LOWER[data]
+                start, end, at = T.words(data, offsets, T.ALNUM_WORDS)
+                hashes = T.word_hashes(data, start, end)
+                words = [hashes[at[i] : at[i + 1]] for i in range(b - a)]
+                seeds = [np.unique(T.grams(w, min(seed, len(w)))).view(np.int64) if len(w) else [] for w in words]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([min(seed, len(w)) for w in words], pa.int32()), pa.array([w.tobytes() for w in words], pa.binary()), pa.array(seeds, pa.list_(pa.int64()))],
+                    names=["item", "item_id", "size", "words", "seeds"],
+                )
+        release()
+
+    return run
 
 
-def _tilings(seeds, share: float):
+def _filter(spark: SparkSession, seeds: DataFrame):
+    """A broadcast Bloom filter of the seeds: two bits each, put together where the seeds are."""
+    mask = (1 << BITS) - 1
+    bits = seeds.select(F.explode(F.array(F.col("seed").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("seed", BITS).bitwiseAND(F.lit(mask)))).alias("bit"))
+    whole = bits.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("held")).toPandas()
+    out = np.zeros(1 << (BITS - 6), np.int64)
+    out[whole["at"].to_numpy(np.int64)] = whole["held"].to_numpy(np.int64)
+    return spark.sparkContext.broadcast(out.view(np.uint64))
+
+
+def _hits(held, sizes: list[int]):
+    """(row, doc_id, sha, seeds, at, size, word_at, words) of each text with a run that the filter lets pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = seeds.value
+        bits, count, task = held.value, 0, TaskContext.get().partitionId() << 40
+        mask = np.uint64((1 << BITS) - 1)
+        isin = lambda k: (bits[(k >> np.uint64(6)).astype(np.int64)] >> (k & np.uint64(63))) & np.uint64(1) > 0
         for batch in batches:
             for a, _, data, offsets in T.chunks(batch.column(1)):
-                found = [(a + r, own.ids[i], len(k), sum(x[2] for x in k), n, max(x[2] for x in k)) for r, i, k, n in own.matches(data, offsets) if k and sum(x[2] for x in k) >= share * n]
-                if found:
-                    row, *rest = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *(pa.array(x, pa.int64()) for x in rest)], names=["doc_id", "item_id", "n_tiles", "covered_words", "item_words", "longest_tile"])
+                lower = T.LOWER[data]
+                start, end, at = T.words(lower, offsets, T.ALNUM_WORDS)
+                hashes = T.word_hashes(lower, start, end)
+                found = []
+                for size in sizes:
+                    own = T.grams(hashes, size)
+                    pos = np.flatnonzero(isin(own & mask))
+                    pos = pos[isin((own[pos] >> np.uint64(BITS)) & mask)]
+                    row = np.searchsorted(at, pos, side="right") - 1
+                    fits = pos + size <= at[row + 1]
+                    found.append((row[fits], pos[fits], np.full(int(fits.sum()), size, np.int32), own[pos[fits]].view(np.int64)))
+                row, pos, size, seed = (np.concatenate(c) for c in zip(*found, strict=True))
+                order = np.lexsort((pos, row))
+                row, pos, size, seed = row[order], pos[order], size[order], seed[order]
+                out = []
+                for r in np.unique(row):
+                    x, y = np.searchsorted(row, [r, r + 1])
+                    word = np.unique(np.concatenate([pos[x:y] + k for k in range(int(size[x:y].max()))]))
+                    word = word[word < at[r + 1]]
+                    sha = hashlib.sha256(data[offsets[r] : offsets[r + 1]].tobytes()).hexdigest()
+                    out.append((task | count, batch.column(0)[a + int(r)].as_py(), sha, seed[x:y], (pos[x:y] - at[r]).astype(np.int32), size[x:y], (word - at[r]).astype(np.int32).tobytes(), hashes[word].tobytes()))
+                    count += 1
+                if out:
+                    types = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["row", "doc_id", "sha", "seeds", "at", "size", "word_at", "words"])
         release()
 
     return run
 
 
-def _clean(blocks, share: float):
+def _tilings(share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for a, _, data, offsets in T.chunks(batch.column(batch.schema.get_field_index("text"))):
-                for own in blocks:
-                    for r, _, k, n in own.value.matches(data, offsets):
-                        keep[a + r] &= sum(x[2] for x in k) < share * n
-            yield batch.filter(pa.array(keep))
+            out = []
+            for doc, sha, item, size, seeds, word_at, words, pattern in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = dict(zip(np.frombuffer(word_at, np.int32).tolist(), np.frombuffer(words, np.uint64).tolist(), strict=True))
+                known: dict[int, int] = {}
+                numbers = [known.setdefault(w, len(known)) for w in np.frombuffer(pattern, np.uint64).tolist()]
+                covered, last = [], -1
+                for p in sorted(seeds):
+                    if p > last + 1 or last < 0:
+                        covered.append(-1)
+                    covered += range(max(p, last + 1), p + size)
+                    last = max(last, p + size - 1)
+                found = tiles(numbers, [-1 if p < 0 else known.get(own[p], -1) for p in covered], size)
+                marked = sum(x[2] for x in found)
+                if found and marked >= share * len(numbers):
+                    out.append((doc, sha, item, len(found), marked, len(numbers), max(x[2] for x in found)))
+            if out:
+                types = (pa.int64(), pa.string(), *(pa.int64() for _ in range(5)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "sha", "item_id", "n_tiles", "covered_words", "item_words", "longest_tile"])
         release()
 
     return run
 
 
-def _blocks(benchmark: DataFrame, seed: int) -> list:
-    """Broadcast seeds of the benchmark, in blocks of BLOCK_BYTES at most (an item at least)."""
-    spark = benchmark.sparkSession
+def _found(docs: DataFrame, benchmark: DataFrame, seed: int, share: float) -> DataFrame:
+    spark = docs.sparkSession
     on_workers(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = -(-total // (BLOCK_BYTES // 2)) or 1
-    out = []
-    for b in range(count):
-        some = sorted(((r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == b).toLocalIterator()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        out.append(spark.sparkContext.broadcast(Seeds(some, seed)))
-    return out
+    rows = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    items = written(rows.mapInArrow(_items(seed), "item long, item_id long, size int, words binary, seeds array<long>"), "items").filter("size > 0")
+    own = items.select("item", "size", F.explode("seeds").alias("seed"))
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # ``seed`` of them at most
+    out = "doc_id long, sha string, item_id long, n_tiles long, covered_words long, item_words long, longest_tile long"
+    if not sizes:
+        return spark.createDataFrame([], out)
+    held = _filter(spark, own.select("seed"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hits = written(texts.mapInArrow(_hits(held, sizes), "row long, doc_id long, sha string, seeds array<long>, at array<int>, size array<int>, word_at binary, words binary"), "hits")
+    held.destroy()
+    # the join of seeds, and what a pair of a document and an item shares
+    one = hits.select("row", F.explode(F.arrays_zip("seeds", "at", "size")).alias("s")).select("row", F.col("s.seeds").alias("seed"), F.col("s.at").alias("at"), F.col("s.size").alias("size"))
+    met = one.join(own, ["seed", "size"]).groupBy("row", "item").agg(F.collect_list("at").alias("at"))
+    both = met.join(hits.select("row", "doc_id", "sha", "word_at", F.col("words").alias("held")), "row").join(items.drop("seeds"), "item")
+    tiled = written(both.select("doc_id", "sha", "item_id", "size", "at", "word_at", "held", "words").mapInArrow(_tilings(share), out), "tilings")
+    for table in (hits, items):
+        remove(table)
+    return tiled
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = 5, share: float = 0.6) -> DataFrame:
     """(doc_id, item_id, n_tiles, covered_words, item_words, longest_tile, coverage) where a document holds ``share`` of an item's words or more.
 
     Words are runs of letters, digits and everything beyond ASCII, A-Z lower-cased.  An item of
-    fewer words than a seed must stand whole.  Null and empty texts and items match nothing;
-    repeated rows and items are reported each.  Other columns are not read.
+    fewer words than a seed must stand whole.  Null and empty texts and items match nothing, nor
+    do empty tables; repeated rows and items are reported each, as are rows without a doc_id.
+    Texts of any length are read whole.  Of equally long matches the first in the item, then in
+    the text, is marked.  Other columns, whatever their names, are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for block in _blocks(benchmark, seed):
-        found = rows.mapInArrow(_tilings(block, share), "doc_id long, item_id long, n_tiles long, covered_words long, item_words long, longest_tile long")
-        out = found if out is None else out.union(found)
-    return out.withColumn("coverage", F.col("covered_words") / F.col("item_words"))
+    return _found(docs, benchmark, seed, share).drop("sha").withColumn("coverage", F.col("covered_words") / F.col("item_words"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, seed: int = 5, share: float = 0.6) -> DataFrame:
-    """The rows of docs, with all their columns, that hold less than ``share`` of every item."""
-    return docs.mapInArrow(_clean(_blocks(benchmark, seed), share), docs.schema)
+    """The rows of docs, with all their columns, that hold less than ``share`` of every item.
+
+    Repeated rows go or stay together.  Null and empty texts stay, and all rows if the benchmark is empty.
+    """
+    bad = _found(docs, benchmark, seed, share).select("doc_id", "sha").distinct()
+    names = ["bad_id", "bad_sha"]
+    while {c.lower() for c in docs.columns} & set(names):
+        names = [n + "_" for n in names]
+    bad = bad.toDF(*names)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(names[0])) & (F.sha2(F.col("text").cast("string").cast("binary"), 256) == F.col(names[1]))
+    return docs.join(F.broadcast(bad) if bad.count() <= MOST_IDS else bad, same, "left_anti")
