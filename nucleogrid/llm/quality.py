@@ -81,7 +81,7 @@ class Model:
             cosine = z[a : a + 256] @ self.vectors.T
             # every neighbour as near as the k-th votes, so ties don't depend on an order
             least = np.partition(cosine, -k, axis=1)[:, -k, None]
-            weight = np.where((cosine >= least) & (cosine > 0), cosine, 0).astype(np.float64) ** 2
+            weight = np.where((cosine >= least) & (cosine > 0), cosine, 0).astype(np.float64)
             total = weight.sum(axis=1)
             out[a : a + 256] = np.where(total > 0, (weight * self.labels).sum(axis=1) / np.maximum(total, 1e-12), self.prior)
         return np.clip(out, 0, 1)
@@ -121,16 +121,21 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, learn: Column, max_labelled: int = MAX_LABELLED) -> Model:
     """A model of labels (doc_id, quality) of which ``learn`` holds, ``max_labelled`` at most.
 
-    Labels that are null or not 0 or 1, or of no document, teach nothing.  Repeated labels count
-    each.  Without any, every score is 0.5.
+    Labels that are null or not 0 or 1, or of no document, teach nothing and use up no place.
+    Repeated labels count each.  Without any, or without documents, every score is 0.5.  Texts of
+    any length are read whole; other columns, whatever their names, are not read.
     """
     on_workers(docs.sparkSession)
-    some = labels.filter(learn & F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id", "quality").limit(max_labelled)
+    usable = labels.filter(learn & F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    known = usable.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    some = known.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id", "quality").limit(max_labelled)
     # the sample's bound proves the size of what is broadcast
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "quality", "text")
     rows = sorted(((r.doc_id, r.quality, bytes(r.terms)) for r in found.mapInArrow(_features, "doc_id long, quality int, terms binary").toLocalIterator(prefetchPartitions=True)), key=lambda r: (r[0], r[1], r[2]))
     x = np.stack([np.frombuffer(t, np.float32) for _, _, t in rows]) if rows else np.zeros((0, FEATURES), np.float32)
-    return fit(x, np.array([q for _, q, _ in rows], np.float64))
+    marked = np.array([q for _, q, _ in rows], np.float64)
+    del rows
+    return fit(x, marked)
 
 
 def _scores(model):
@@ -156,7 +161,8 @@ def _keeps(model, least: float):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of each row of docs (doc_id, text, ...): the weighted share of neighbours labelled 1.
 
-    A null or empty text has no direction and gets the labelled sample's share of 1.
+    A null or empty text has no direction and gets the labelled sample's share of 1.  Repeated rows
+    score alike, each with its row; neighbours tied with the last one that votes vote as well.
     """
     on_workers(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -164,6 +170,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """The rows of docs, with all their columns, that score ``least`` or more."""
+    """The rows of docs, with all their columns, that score ``least`` or more; null and empty texts as ``score`` has them."""
     on_workers(docs.sparkSession)
     return docs.mapInArrow(_keeps(docs.sparkSession.sparkContext.broadcast(model), least), docs.schema)
