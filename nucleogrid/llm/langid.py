@@ -209,6 +209,9 @@ def identify(docs: DataFrame, model: tuple) -> DataFrame:
     The language whose trees give the whole text the shortest code; ties go to the first by
     name.  The score is its share of the probability that all languages give the text.  Null
     texts and texts without a letter are ``und`` with the score 0, as is all without a model.
+    Repeated rows are predicted each, texts of any length whole; an empty table gives none, and
+    columns besides doc_id and text are not read.  A worker holds 8 bytes a language for each run
+    of up to ORDER + 1 bytes in the sample: about 60 MB for 200 languages and 40,000 runs.
     """
     on_workers(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, *model))

@@ -70,7 +70,8 @@ def scan(docs: DataFrame, share: float = 0.8, reach: int = 2, phrases=PHRASES, n
     and those of accepted notices, distinct, sorted and joined by commas ('' without any);
     ``spans`` those notices' (label, first word, last word, share covered).  ``score`` is 1 where
     a phrase stands, else the largest share of a notice that is covered (0 to 1, 0 for none).
-    Null and empty texts have no words.  Repeated rows are scanned each; other columns are not read.
+    Null and empty texts have no words.  Repeated rows are scanned each, texts of any length whole; an
+    empty table gives none.  Other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     runs = templates(spark, phrases, notices)

@@ -285,7 +285,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     ``den * |intersection| >= num * |union|``.  A null or empty text, or one of blanks only, has
     the size 0, no class and links with nothing.  Repeated rows are copies of each other.  A row
     without a doc_id takes part like any other; ids are the smallest that are known, and null
-    where none is.  Columns besides doc_id and text are not read.
+    where none is.  Texts of any length are read whole; an empty table gives none.  Columns besides
+    doc_id and text, whatever their names, are not read.
     """
     return _labelled(docs, n, num, den).select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 

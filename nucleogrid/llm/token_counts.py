@@ -262,7 +262,9 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, tables: boo
     """(doc_id, n_bytes, n_tokens, over_limit) of each row of docs (doc_id, text, ...), and its ``prefix_table`` if asked for.
 
     The last entry of the prefix table is the count of the whole text: what the library gives
-    without added special tokens.  Null and empty texts have none.  Other columns are not read.
+    without added special tokens.  Null and empty texts have none.  Repeated rows are counted each,
+    texts of any length whole; an empty table gives none.  Other columns, whatever their names, are
+    not read.
     """
     on_workers(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

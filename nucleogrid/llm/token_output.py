@@ -209,7 +209,8 @@ def write_sequences(docs: DataFrame, tokenizer: str, length: int = 2048, end_id:
 
     ``base`` is the number of ids in the files before it.  A null text is empty and has its end
     id alone; a null doc_id comes first; rows of the same doc_id stand by their text.  An empty
-    table has no file.  Other columns are not read.
+    table has no file.  Texts of any length are encoded whole.  Other columns, whatever their names,
+    are not read.
     """
     spark = docs.sparkSession
     on_workers(spark)
