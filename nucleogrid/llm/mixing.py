@@ -21,8 +21,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .store import written
 
-#: Ranges of a leaf's order whose tokens are summed before one is looked into.
-RANGES = 4096
 LEVELS = ("domain", "lang", "source")
 
 
@@ -43,7 +41,8 @@ def _fill(children: DataFrame, parent: list[str]) -> DataFrame:
     siblings = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
     ordered = siblings.orderBy(F.expr("c / w"), *LEVELS[: len(parent) + 1])
     before = F.coalesce(F.sum("c").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    behind = F.sum("w").over(ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    back = siblings.orderBy(F.expr("c / w").desc(), *(F.desc(k) for k in LEVELS[: len(parent) + 1]))
+    behind = F.sum("w").over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     level = children.withColumn("level", (F.col("b") - before) / behind)
     return level.withColumn("x", F.least(F.col("c"), F.max("level").over(siblings) * F.col("w"))).drop("level")
 
@@ -107,7 +106,8 @@ def mixed(docs: DataFrame, share: float = 0.9, epochs: int = 2, temperature: flo
     ``copies`` is the number of epochs that a document is in.  A null lang or source is a leaf of
     its own, named ''.  Texts without a word cost nothing and are not selected.  Rows of the same
     doc_id stand or fall together.  At most a leaf's budget is used: the document that would pass
-    it is left out.  Other columns are not read.
+    it is left out.  An empty table gives none; texts of any length are read whole.  Other columns,
+    whatever their names, are not read.
     """
     counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), count_words(F.col("text")).alias("tokens"))
     small = written(counted.withColumn("domain", domain_of(F.col("source"))), "counted")
