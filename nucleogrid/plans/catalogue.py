@@ -223,7 +223,7 @@ _KNN = """p AS (SELECT brain, label, cy, cx, tile_x FROM boxes), d AS (SELECT a.
 def knn2(spark, d):
     b = V.boxes(spark, d)
     side = lambda df, p: df.select("brain", F.col("label").alias(f"{p}_id"), F.col("cy").alias(f"{p}_y"), F.col("cx").alias(f"{p}_x"))
-    n = spatial.nearest(side(b.filter("tile_x = 0"), "a"), side(b.filter("tile_x = 1"), "b"), ["brain"], 2, 25.0)
+    n = spatial.nearest(side(b.filter("tile_x = 0"), "a"), side(b.filter("tile_x = 1"), "b"), ["brain"], 2, 5.0)
     return n.select("brain", "a_id", "b_id", F.col("d2").cast("double").alias("d2"), F.col("rank").cast("long").alias("rank"))
 
 
