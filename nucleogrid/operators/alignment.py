@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..workers import on_workers
 
@@ -73,54 +73,108 @@ def low_pass(pixels: DataFrame, by: list[str], cutoff: float = 25.0) -> DataFram
     return _per_group(pixels, by, work, "y long, x long, v double")
 
 
+def _by_pairs(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, block: int) -> Callable:
+    """The sums of an expectation step, over blocks of target points: (t, variance) to the target points' masses, the
+    moving points' masses, and the sum of products of both sides' coordinates."""
+
+    def sums(t: np.ndarray, variance: float) -> tuple[np.ndarray, np.ndarray, float]:
+        place, square = y + t, lambda p: (p**2).sum(1)
+        of_target, of_moving, both = np.empty(len(x)), np.zeros(len(y)), 0.0
+        for at in range(0, len(x), block):
+            part = x[at : at + block]
+            d = square(part)[None, :] + square(place)[:, None] - 2 * place @ part.T
+            p = np.exp(-np.maximum(d, 0) / (2 * variance)) * b[:, None]
+            p *= a[at : at + block] / np.maximum(p.sum(0), _LEAST)
+            of_target[at : at + block] = p.sum(0)
+            of_moving += p.sum(1)
+            both += ((p @ part) * y).sum()
+        return of_target, of_moving, both
+
+    return sums
+
+
+def _by_axes(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray) -> Callable:
+    """As ``_by_pairs``, without pairs: the kernel is a product over axes, so a grid of the axes' distinct values is summed one axis after the other."""
+    of_x, of_y = ([np.unique(c, return_inverse=True) for c in p.T] for p in (x, y))
+    at_x, at_y = (tuple(c[1].ravel() for c in of) for of in (of_x, of_y))
+
+    def spread(of: list, at: tuple, v: np.ndarray) -> np.ndarray:
+        grid = np.zeros([len(c[0]) for c in of])
+        grid[at] = v
+        return grid
+
+    def along(grid: np.ndarray, axis: int, k: np.ndarray) -> np.ndarray:
+        return np.moveaxis(np.tensordot(grid, k, (axis, 1)), -1, axis)
+
+    def sums(t: np.ndarray, variance: float) -> tuple[np.ndarray, np.ndarray, float]:
+        k = [np.exp(-((u[0][:, None] - v[0][None, :] - s) ** 2) / (2 * variance)) for u, v, s in zip(of_x, of_y, t)]
+        grid = spread(of_y, at_y, b)
+        for axis in (2, 1, 0):
+            grid = along(grid, axis, k[axis])
+        total = grid[at_x]
+        share = a / np.maximum(total, _LEAST)
+        # behind each axis the sums themselves and those times a coordinate of the target points
+        parts = {None: spread(of_x, at_x, share)}
+        for axis in (2, 1, 0):
+            own, times = k[axis].T, k[axis].T * of_x[axis][0]
+            parts = {c: along(g, axis, own) for c, g in parts.items()} | {axis: along(parts[None], axis, times)}
+        return share * total, b * parts[None][at_y], sum(float(b * parts[c][at_y] @ y[:, c]) for c in range(3))
+
+    return sums
+
+
+#: What the moving points' kernels add up to at a target point, at least.
+_LEAST = np.finfo(np.float32).eps
+
+
 def translation(points: DataFrame, by: list[str], tolerance: float = 1e-5, steps: int = 1000, block: int = 2048) -> DataFrame:
     """(by, ty, tx): the translation in the plane that brings moving points onto target points, by coherent point drift.
 
-    points has (by, moving, z, y, x).  Expectation and maximisation run on blocks of target points
-    (never the whole matrix of both sets) until the objective changes by less than ``tolerance``;
-    z stays.  Groups without points on both sides give 0.
+    points has (by, moving, z, y, x).  Points of one place count as one with their number as its
+    weight.  Expectation and maximisation run until the objective changes by less than
+    ``tolerance``, or neither the translation nor the variance changes; z stays.  A step goes over
+    the grid of the distinct values of each axis where that is less work, whatever the number of
+    points, else over all pairs in blocks of target points (never the whole matrix of both sets),
+    which grows with the product of both sides.  Groups without points on both sides give 0.
     """
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         moving = rows["moving"].to_numpy(bool)
-        xyz = rows[["z", "y", "x"]].to_numpy(float)
+        xyz, n = rows[["z", "y", "x"]].to_numpy(float), rows["_n"].to_numpy(float)
         # the order of arrival must not decide the last digits
-        x, y = (p[np.lexsort(p.T)] for p in (xyz[~moving], xyz[moving]))
+        (x, a), (y, b) = ((p[o], w[o]) for p, w in ((xyz[~moving], n[~moving]), (xyz[moving], n[moving])) for o in (np.lexsort(p.T),))
         t = np.zeros(3)
         if len(x) and len(y):
+            middle = a @ x / a.sum()
+            x, y = x - middle, y - middle
             square = lambda p: (p**2).sum(1)
-            variance = (square(x).sum() * len(y) + square(y).sum() * len(x) - 2 * x.sum(0) @ y.sum(0)) / (3 * len(x) * len(y))
+            variance = (a @ square(x) * b.sum() + b @ square(y) * a.sum() - 2 * (a @ x) @ (b @ y)) / (3 * a.sum() * b.sum())
+            sides = [max(len(np.unique(p[:, c])) for p in (x, y)) for c in range(3)]
+            # a pair takes about as long as 50 products along an axis
+            sums = _by_axes(x, a, y, b) if np.prod(sides) * sum(sides) < 50.0 * len(x) * len(y) else _by_pairs(x, a, y, b, block)
             before = np.inf
             for _ in range(steps):
                 if variance <= 0:
                     variance = tolerance / 10
-                mass, to, own, far, both, self_ = 0.0, np.zeros(3), np.zeros(3), 0.0, 0.0, 0.0
-                place = y + t
-                for a in range(0, len(x), block):
-                    part = x[a : a + block]
-                    d = square(part)[None, :] + square(place)[:, None] - 2 * place @ part.T
-                    p = np.exp(-np.maximum(d, 0) / (2 * variance))
-                    p /= np.maximum(p.sum(0), np.finfo(np.float32).eps)
-                    of_target, of_moving = p.sum(0), p.sum(1)
-                    mass += of_target.sum()
-                    to += of_target @ part
-                    own += of_moving @ y
-                    far += of_target @ square(part)
-                    self_ += of_moving @ square(y)
-                    both += ((p @ part) * y).sum()
+                of_target, of_moving, both = sums(t, variance)
+                mass = of_target.sum()
                 if mass <= 0:
                     break
-                to, own = to / mass, own / mass
+                to, own = of_target @ x / mass, of_moving @ y / mass
                 new = np.where([False, True, True], to - own, 0.0)
-                spread, agree = far - mass * to @ to, both - mass * to @ own
-                now = (spread - 2 * agree + self_ - mass * own @ own) / (2 * variance) + 1.5 * mass * np.log(variance)
-                t, variance = new, (spread - agree) / (3 * mass)
-                if abs(now - before) <= tolerance:
+                spread, agree = of_target @ square(x) - mass * to @ to, both - mass * to @ own
+                now = (spread - 2 * agree + of_moving @ square(y) - mass * own @ own) / (2 * variance) + 1.5 * mass * np.log(variance)
+                last, t, held, variance = t, new, variance, (spread - agree) / (3 * mass)
+                still = np.abs(t - last).max() <= 1e-9 and abs(max(variance, tolerance / 10) - max(held, tolerance / 10)) <= 1e-9
+                if abs(now - before) <= tolerance or still:
                     break
                 before = now
         return pd.DataFrame({"ty": [t[1]], "tx": [t[2]]})
 
-    return _per_group(points, by, work, "ty double, tx double")
+    places = points.groupBy(*by, "moving", "z", "y", "x").agg(F.count("*").alias("_n"))
+    # by number, else few tasks get all groups, whose rows are few and whose work is long
+    spark = points.sparkSession
+    return _per_group(places.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *by), by, work, "ty double, tx double")
 
 
 def tree_offsets(edges: DataFrame, by: list[str]) -> DataFrame:

@@ -26,6 +26,21 @@ def test_translation_is_found_whatever_the_block(spark):
     assert (a[1].ty, a[1].tx) == (0, 0)
 
 
+def test_translation_counts_points_of_a_place_and_needs_no_pairs(spark):
+    rng = np.random.default_rng(11)
+    y = np.unique(rng.integers(0, (5, 40, 30), (3000, 3)).astype(float), axis=0)
+    x = y[rng.permutation(len(y))[:2000]] + [0, 0.4, -0.3]
+    n = rng.integers(1, 4, len(y)).astype(float)
+    of = [(x, np.ones(len(x)), y, n)]
+    pairs, axes = alignment._by_pairs(*of[0], 64), alignment._by_axes(*of[0])
+    for variance in (200.0, 3.0, 0.01):
+        a, b = pairs(np.array([0, 0.2, 0.1]), variance), axes(np.array([0, 0.2, 0.1]), variance)
+        assert all(np.allclose(p, q, rtol=1e-8, atol=1e-9) for p, q in zip(a, b))
+    copies = [(1, m, *p) for m, side in ((False, x), (True, y)) for p in side.tolist()]
+    once, often = (alignment.translation(spark.createDataFrame(copies * k, "g int, moving boolean, z double, y double, x double"), ["g"]).collect()[0] for k in (1, 3))
+    assert (once.ty, once.tx) == pytest.approx((0.4, -0.3), abs=0.02) and (often.ty, often.tx) == pytest.approx((once.ty, once.tx), abs=1e-3)
+
+
 def test_phase_shift_finds_the_planted_move(spark):
     image = np.random.default_rng(2).uniform(0, 1, (9, 12))
     pixels = [(g, m, y, x, float(v)) for g, (dy, dx) in enumerate(((0, 0), (3, -4), (-4, 5))) for m, i in ((False, image), (True, np.roll(image, (-dy, -dx), (0, 1)))) for (y, x), v in np.ndenumerate(i)]
