@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import geometry as G
 from ..operators import cells, identity, regions, series, statistics as S
 from . import views as V
-from .catalogue import _PAIRS, _pairs, query, r6
+from .catalogue import _PAIRS, query, r6
 
 # rows
 
@@ -729,6 +729,5 @@ gone AS (SELECT DISTINCT brain, CASE WHEN t_far > m_far THEN t_label WHEN t_far
 def nms_adaptive(spark, d):
     b = V.boxes(spark, d).withColumn("tile", F.col("tile_x") * 3 + F.col("tile_y"))
     far = F.sqrt((G.centre(F.col("y0"), F.col("y1")) - 250) ** 2 + (G.centre(F.col("x0"), F.col("x1")) - 250) ** 2)
-    pairs = _pairs(spark, d).select("brain", "a_label", "b_label", "iou")
-    gone = identity.suppressed_adaptive(pairs, b.select("brain", "tile", "label", far.alias("far")), 0.1)
+    gone = identity.suppressed_among(b.select("brain", "tile", "label", far.alias("far"), *(f"{a}{i}" for a in "zyx" for i in (0, 1))), 0.1)
     return identity.dropped(V.boxes(spark, d), gone, ["brain", "label"]).select("brain", "label", "volume")

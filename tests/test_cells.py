@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nucleogrid.operators import cells, classes, identity, series, statistics as S
+from nucleogrid.operators import cells, classes, identity, series, spatial, statistics as S
 
 
 def rows(df):
@@ -94,6 +94,31 @@ def test_a_box_is_judged_by_its_best_target_only(spark):
     assert rows(identity.suppressed_adaptive(pairs, boxes, 10.0)) == []
 
 
+def test_best_targets_without_a_table_of_pairs(spark):
+    rng = np.random.default_rng(13)
+    low, size = rng.integers(0, 30, (150, 3)), rng.integers(0, 7, (150, 3))
+    size[:4] = 19  # longer than a block
+    low[100:120], size[100:120] = low[80:100], size[80:100]  # copies of boxes, in the same tile or another
+    data = [(0, int(t), i, float(rng.integers(0, 9)), *lo, *hi) for i, (t, lo, hi) in enumerate(zip(rng.integers(0, 4, 150), low.tolist(), (low + size).tolist()))]
+    want = {}
+    for m in data:
+        for t in data:
+            shared = np.prod([min(m[7 + c], t[7 + c]) - max(m[4 + c], t[4 + c]) if min(m[7 + c], t[7 + c]) > max(m[4 + c], t[4 + c]) else 0 for c in range(3)])
+            if t[1] < m[1] and shared > 0:
+                iou = shared / (np.prod(size[m[2]]) + np.prod(size[t[2]]) - shared)
+                want[m[2], t[1]] = max(want.get((m[2], t[1]), (0.0, 0)), (iou, -t[2]))
+    names = ["z0", "y0", "x0", "z1", "y1", "x1"]
+    far = {r[2]: r[3] for r in data}
+    for kind, cell in (("double", 96.0), ("long", 8.0)):
+        boxes = spark.createDataFrame([(*r[:4], *map(float if kind == "double" else int, r[4:])) for r in data], f"brain int, tile int, label long, far double, {', '.join(f'{c} {kind}' for c in names)}")
+        got = spatial.best_targets(boxes, cell).collect()
+        assert len(got) == len(want) and {(r.m.label, r.t.tile): (r.iou, -r.t.label) for r in got} == want
+        assert all((r.m.far, r.t.far) == (far[r.m.label], far[r.t.label]) for r in got)
+    pairs = spark.createDataFrame([(0, -t, m, float(iou)) for (m, _), (iou, t) in want.items()], "brain int, a_label long, b_label long, iou double")
+    gone = rows(identity.suppressed_adaptive(pairs, boxes, 0.1))
+    assert gone and rows(identity.suppressed_among(boxes, 0.1, 8.0)) == gone
+
+
 def test_chunks_own_each_row_once(spark):
     df = spark.range(0, 100).withColumnRenamed("id", "z")
     got = cells.in_chunks(df, "z", 40, 10, 3).collect()
